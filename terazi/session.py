@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,13 +15,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="terazi-")
+        sc.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, True)
+    return folder
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a temporary folder of this machine is used.
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    The lineage ends there: every executor can read the table, and losing one loses nothing.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="terazi-"))
-    return df.checkpoint(eager)
+    path = f"{shared_folder(df.sparkSession)}/terazi-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
