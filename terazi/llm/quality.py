@@ -30,11 +30,11 @@ COMMON = {
     "en": "a about after all also although an and any are as at be because been before but by came can could did do each even for from had has have he her his how if in into is it its many may more most new no nor not of on one only or other our out over say she should since so some such than that the their them then there these they this those though through to two under until up upon us was we were what when where whether which while who why will with would you your",
     "tr": "ama ancak az bazı ben bile bir biri biz bu buna bunu bunun böyle büyük da daha de değil diye diğer dolayı en gibi göre hem hep her hiç iki ile ilk ise için kadar karşı ki kim konusundaki mi mu mı mü nasıl ne neden o olan olarak oldu oldukça olduğu olur on ona onu onun oysa sonra sonunda şey şu tarafında tarihinde tüm var ve veya ya yani yerine yeni yine yok yılının yüzde zaten zira çok çünkü önce üzere",
 }
-FOLDED = {k: {w.translate(str.maketrans("ıİşğçöüâî", "iisgcouai")) for w in v.split()} for k, v in COMMON.items()}
-FOLD = str.maketrans("ıİşŞğĞçÇöÖüÜâî", "iissggccoouuai")
+#: The same with and without accents.
+FOLDED = {k: {*v.split(), *v.translate(str.maketrans("ıİşğçöüâî", "iisgcouai")).split()} for k, v in COMMON.items()}
 
 #: The statistics of the distance, in order.
-STATISTICS = ("words_log", "word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "line_words_log", "list_lines", "cell_lines", "distinct_words", "compression", "code_words", "longest_token_log")
+STATISTICS = ("words_log", "word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "line_words_log", "list_lines", "cell_lines", "distinct_words", "compression", "code_words", "longest_token_log", "voiceless_words")
 SHARES = ("list_share", "table_share", "junk_share")
 #: A document is a case of p10.
 CASES = "kind is not null"
@@ -46,54 +46,78 @@ BULLET = re.compile(r"\s*(?:[-*+•◦▪▫‣⁃●○■□–—·»>]\s+|\(
 LEADER = re.compile(r"\S.*?(?:\.{4,}|(?: \.){4,}|_{4,}|…{2,})\s*\d*\s*$")
 SENTENCE_END = re.compile(r"[.!?…:;][\"'”’»)\]]*\s*$")
 STOP = re.compile(r"[.!?…][\"'”’»)\]]*\s*$")
-CELLS = re.compile(r"[|│¦┃\t;]|</t[dh]>|\S(?: {2,})(?=\S)|,(?=\S)")
+LINE = re.compile("[^\n\r\x0b\x0c\x85\u2028\u2029]+")
+TURKISH = re.compile("[ışğİŞĞ]")
+VOWEL = re.compile("[aeıioöuüâîûyáéíóúàèäAEIİOÖUÜÂÎÛY0-9]|[^\x00-\u024f]")
 RULE = re.compile(r"^[\s+\-=|_:│┼├┤┬┴─═╔╗╚╝╠╣╬*~]+$")
 CELL_VALUE = re.compile(r"^[-+]?[\d.,%/:-]*\d[\d.,%/:-]*$|^-$|^n/a$|^$", re.I)
 CODE = re.compile(r"^(?=.*\d)(?=.*[A-Za-z])[0-9A-Za-z_\-=+/:.]{6,}$|^0x[0-9a-fA-F]+$|^[0-9A-Fa-f]{12,}$|^\d{8,}$")
+PAIR = re.compile(r"^[^\W\d]\w*[=:]\S*$")
 URL = re.compile(r"(?:https?://|www\.)\S+")
 
 
-def cells_of(line: str) -> int:
-    """Cells of a row; 1 if the line isn't one."""
+#: Classes of characters: 1 letter, 2 digit, 3 other visible, 0 blank; beyond this table by category.
+LETTER, DIGIT, OTHER = 1, 2, 3
+CLASSES = np.array([1 if (c := chr(i)).isalpha() else 2 if c.isdigit() else 0 if c.isspace() else 3 for i in range(0x3000)], dtype=np.int8)
+
+
+def classes(text: str) -> np.ndarray:
+    """Class of each code point."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    if len(points) and points.max() >= len(CLASSES):
+        return np.where(points < len(CLASSES), CLASSES[np.minimum(points, len(CLASSES) - 1)], np.where((points >= 0x1F000) | ((points >= 0xFE00) & (points < 0xFE10)), OTHER, LETTER)).astype(np.int8)
+    return CLASSES[points]
+
+
+def cells_of(line: str, words: list[str]) -> tuple[int, bool]:
+    """Cells of a row (1 if the line isn't one), and whether signs part them."""
     best = 1
     for sign in ("|", "│", "\t", ";", "</td>", "</th>"):
-        n = line.count(sign)
-        if n >= 2:
-            best = max(best, n + (sign in "\t;"))
-    if best < 3:
-        gaps = re.split(r" {2,}", line.strip())
-        best = max(best, len(gaps) if len(gaps) >= 3 else 1)
-    if best < 3 and line.count(",") >= 2:
-        fields = line.strip().split(",")
-        if sum(bool(CELL_VALUE.match(f.strip())) for f in fields) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
-            best = len(fields)
-    if best < 3:
-        tokens = line.split()
-        if len(tokens) >= 3 and sum(bool(CELL_VALUE.match(t)) for t in tokens) > 0.6 * len(tokens):
-            best = len(tokens)
-    return best
-
-
-def line_kinds(lines: list[str]) -> list[str]:
-    """Kind of each non-blank line: list, table, junk or prose."""
-    counts = [len(x.split()) for x in lines]
+        if sign in line:
+            n = line.count(sign)
+            if n >= 2:
+                best = max(best, n + (sign in "\t;"))
+    if best >= 3:
+        return best, True
+    if "  " in line:
+        best = max(best, len(re.split(r" {2,}", line.strip())))
+        if best >= 3:
+            return best, False
+    if len(words) >= 2 and "=" in line and sum(bool(PAIR.match(w)) for w in words) >= max(2, 0.6 * len(words)):
+        return max(3, len(words)), True
+    if line.count(",") >= 2:
+        fields = [f.strip() for f in line.strip().split(",")]
+        if sum(bool(CELL_VALUE.match(f)) for f in fields) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
+            return len(fields), True
+    if len(words) >= 3 and sum(w[0].isdigit() or w[-1].isdigit() for w in words) > 0.5 * len(words) and sum(bool(CELL_VALUE.match(t)) for t in words) > 0.6 * len(words):
+        return len(words), False
+    return 1, False
+
+
+def is_code(token: str) -> bool:
+    return len(token) >= 6 and not token.isalpha() and CODE.match(token.strip(".,;:()[]\"'")) is not None
+
+
+def line_kinds(lines: list[str], sizes: list[tuple[int, int, int]]) -> list[str]:
+    """Kind of each non-blank line (``sizes``: its letters, digits and other characters): list, table, junk or prose."""
+    tokens = [x.split() for x in lines]
+    counts = list(map(len, tokens))
     plain: list[int] = []
     kinds = []
     for i, line in enumerate(lines):
-        text = line.strip()
-        letters = sum(c.isalpha() for c in text)
-        solid = sum(not c.isspace() for c in text)
-        words = text.split()
-        cells = cells_of(line)
-        if RULE.match(line):
+        letters, digits, other = sizes[i]
+        solid = letters + digits + other
+        words = tokens[i]
+        cells, signs = cells_of(line, words)
+        if letters + digits == 0 and RULE.match(line):
             kinds.append("rule")
+        elif not signs and sum(map(is_code, words)) >= max(2, 0.4 * len(words)):
+            kinds.append("junk")
         elif cells >= 3 and not (SENTENCE_END.search(line) and counts[i] > 2 * cells and cells < 5):
             kinds.append("table")
         elif letters < 0.4 * solid and not BULLET.match(line):
-            kinds.append("junk" if sum(c.isdigit() for c in text) < 0.5 * solid else "table")
-        elif sum(bool(CODE.match(w.strip(".,;:()[]\"'"))) for w in words) >= max(2, 0.4 * len(words)):
-            kinds.append("junk")
-        elif BULLET.match(line) or LEADER.match(line):
+            kinds.append("junk" if digits < 0.5 * solid else "table")
+        elif (BULLET.match(line) and not (counts[i] > 4 and STOP.search(line))) or (("..." in line or ". . ." in line or "___" in line or "…" in line) and LEADER.match(line)):
             kinds.append("list")
         else:
             kinds.append("prose")
@@ -123,50 +147,67 @@ def line_kinds(lines: list[str]) -> list[str]:
 def statistics(text: str | None, lang: str | None) -> tuple:
     """Language and statistics of one text (empty texts: zeros)."""
     text = text or ""
-    lines = [x for x in re.split(r"[\n\r\x0b\x0c\x85  ]+", text) if x.strip()]
-    solid = sum(len(x.strip()) for x in lines)
     said = (lang or "").strip().lower()[:2]
-    if not solid:
+    if not text or text.isspace() or not text.split():
         return (said if said in COMMON else "other", 0, *([0.0] * len(STATISTICS)), 0.0, 0.0, 0.0)
+    kind_of = classes(text)
+    totals = np.bincount(kind_of, minlength=4)
+    sums = np.zeros((4, len(kind_of) + 1), dtype=np.int64)
+    for k in (LETTER, DIGIT, OTHER):
+        np.cumsum(kind_of == k, out=sums[k, 1:])
+    lines, sizes = [], []
+    for m in LINE.finditer(text):
+        a, b = m.span()
+        size = tuple((sums[1:, b] - sums[1:, a]).tolist())
+        if sum(size):
+            lines.append(m.group())
+            sizes.append(size)
     tokens = text.split()
+    if not lines:
+        return (said if said in COMMON else "other", 0, *([0.0] * len(STATISTICS)), 0.0, 0.0, 0.0)
     words = WORD.findall(text)
-    folded = [w.lower().translate(FOLD).replace("̇", "") for w in words]
-    hits = {k: sum(w in v for w in folded) for k, v in FOLDED.items()}
-    turkish = len(re.findall("[ışğİŞĞ]", text))
-    hits["tr"] += turkish // 4
+    folded = " ".join(words).replace("İ", "i").lower().split(" ")
+    hits = {k: sum(map(v.__contains__, folded)) for k, v in FOLDED.items()}
+    hits["tr"] += len(TURKISH.findall(text)) // 4
     top = max(hits, key=lambda k: (hits[k], k == said))
     language = top if hits[top] >= 2 else said if said in COMMON else "other"
-    alnum = sum(c.isalnum() for c in text)
-    symbols = sum(not c.isalnum() and not c.isspace() for c in text)
-    digits = sum(c.isdigit() for c in text)
-    kinds = line_kinds(lines)
+    alnum, symbols, digits = int(totals[LETTER] + totals[DIGIT]), int(totals[OTHER]), int(totals[DIGIT])
+    kinds = line_kinds(lines, sizes)
     weight = {"list": 0, "table": 0, "junk": 0, "prose": 0}
     for k, x in zip(kinds, lines, strict=True):
         weight[k] += len(x.strip())
+    solid = sum(weight.values())
     shares = {k: weight[k] / solid for k in ("list", "table", "junk")}
-    lowered = [t.lower() for t in tokens]
-    distinct = len(set(lowered)) / len(lowered) if lowered else 0.0
+    distinct = len({t.lower() for t in tokens}) / len(tokens)
     raw = text.encode("utf-8", "replace")
-    packed = len(zlib.compress(raw, 6)) / len(raw)
-    longest = max(map(len, tokens), default=0)
+    packed = len(zlib.compress(raw, 1)) / len(raw)
+    longest = max(map(len, tokens))
     same_lines = len({x.strip() for x in lines}) / len(lines)
-    code = sum(bool(CODE.match(t.strip(".,;:()[]\"'"))) for t in tokens) / max(1, len(tokens))
-    letters_share = alnum / max(1, alnum + symbols)
-    # what nobody can read as a whole: hardly any letters, one token without end, or the same over and over
-    endless = longest > 200 and longest > 0.5 * solid and not URL.match(max(tokens, key=len))
-    repeated = len(tokens) >= 12 and (distinct < 0.12 or (packed < 0.16 and shares["table"] < 0.5))
-    furniture = len(tokens) >= 8 and distinct < 0.45 and len(tokens) / max(1, len(lines)) <= 2.2 and same_lines < 0.6 and shares["table"] < 0.5
-    chain = len(tokens) >= 8 and len(lines) <= 3 and sum(len(t) == 1 and not t.isalnum() for t in tokens) > 0.3 * len(tokens)
-    if (letters_share < 0.35 and shares["table"] < 0.5) or endless or repeated or furniture or chain:
+    code = sum(map(is_code, tokens)) / len(tokens)
+    visible = max(1, alnum + symbols)
+    mute = [w for w in words if len(w) > 2]
+    voiceless = sum(VOWEL.search(w) is None for w in mute) / max(1, len(mute))
+    no_ends = not any(STOP.search(x) for x in lines)
+    # what nobody can read as a whole: hardly any letters, one token without end, words without vowels,
+    # the same over and over, the links around a page
+    noise = alnum < 0.35 * visible
+    giant = max(tokens, key=len)
+    endless = longest > 40 and longest > 0.5 * solid and not URL.match(giant) and (longest > 200 or longest > 0.8 * solid or len(set(giant)) <= 6) and "<td" not in text
+    gibberish = len(mute) >= 4 and voiceless > 0.5 and digits < 0.1 * visible and shares["table"] < 0.5
+    repeated = len(tokens) >= 12 and (distinct < 0.12 or (packed < 0.14 and shares["table"] < 0.5))
+    few_digits = digits < 0.05 * visible
+    stacked = len(lines) > 3 and distinct < 0.45 and len(tokens) / len(lines) <= 2.2 and same_lines < 0.6
+    in_row = len(lines) <= 3 and distinct < 0.6
+    furniture = len(tokens) >= 8 and few_digits and no_ends and (stacked or in_row)
+    if noise or endless or gibberish or repeated or furniture:
         shares = {"list": 0.0, "table": 0.0, "junk": 1.0}
-    ended = sum(bool(SENTENCE_END.search(x)) for x in lines) / len(lines)
     n = len(lines)
     values = (
         np.log1p(len(words)),
         sum(map(len, words)) / max(1, len(words)),
-        symbols / max(1, alnum + symbols),
-        digits / max(1, alnum + symbols),
-        ended,
+        symbols / visible,
+        digits / visible,
+        sum(bool(SENTENCE_END.search(x)) for x in lines) / n,
         hits.get(language, max(hits.values())) / max(1, len(words)),
         np.log1p(len(tokens) / n),
         kinds.count("list") / n,
@@ -175,6 +216,7 @@ def statistics(text: str | None, lang: str | None) -> tuple:
         packed,
         code,
         np.log1p(longest),
+        voiceless,
     )
     return (language, len(words), *map(float, values), shares["list"], shares["table"], shares["junk"])
 

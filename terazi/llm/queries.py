@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terazi.llm.bpe import encode_column, round_trip
 from terazi.llm.canonical import map_founders
+from terazi.llm.leakage import find_leaks
 from terazi.llm.quality import CASES, document_quality
 from terazi.llm.quantiles import TARGETS, percentiles, value_counts
 
@@ -34,6 +35,14 @@ def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (p2_percentiles, p2_partials, p6_found, p8_ids, p8_round_trip, p10_stats, p10_found)}
+    return {f.__name__: f for f in (p2_percentiles, p2_partials, p6_found, p8_ids, p8_round_trip, p9_leaks, p9_found, p10_stats, p10_found)}
 
 
 COUNTS = """WITH u AS (SELECT DISTINCT fonkodu, start_date, end_date, archetype, start_aum, end_aum, end_participants, flow_pct, market_effect_pct FROM universe),
