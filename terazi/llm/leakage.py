@@ -26,14 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terazi.session import cut
+
 WINDOW, STRIDE = 24, 12
 #: Hashed document frequencies; hashed features of the latent space; its rank and oversampling.
-DF_SIZE, FEATURES, RANK, MORE = 1 << 18, 1 << 13, 112, 16
-LEAST_COSINE = 0.25
+DF_SIZE, FEATURES, RANK, MORE = 1 << 18, 1 << 13, 160, 16
+LEAST_COSINE = 0.15
 #: Least share of an item's words, and words of a piece.
 SHARE, PIECE = 0.4, 12
 BLOCK_CHARS = 4_000_000
@@ -54,24 +57,29 @@ def tokens_of(text: str | None) -> list[str]:
 
 
 class Hasher:
-    """64-bit codes of words; numbers share one code."""
+    """Codes of 63 bits and a low bit that marks numbers."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
 
-    def codes(self, words: list[str]) -> np.ndarray:
+    def codes(self, words: list[str]) -> list[int]:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        out = np.empty(len(words), dtype=np.uint64)
-        for i, w in enumerate(words):
+        out = []
+        for w in words:
             c = known.get(w)
             if c is None:
-                c = known[w] = xxhash.xxh64_intdigest("#" if w[0].isdigit() else w)
-            out[i] = c
+                c = known[w] = (xxhash.xxh64_intdigest(w) >> 2 << 1) | w[0].isdigit()
+            out.append(c)
         return out
 
 
+def joined(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Concatenated codes and the lengths of the texts."""
+    return np.array([c for t in texts for c in t], dtype=np.uint64), np.array([len(t) for t in texts], dtype=np.int64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
@@ -91,6 +99,7 @@ def features(codes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np
     """Window and feature code of each word and each pair of neighbours of each window."""
     if not len(codes):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    codes = np.where(codes & np.uint64(1), np.uint64(1), codes)  # numbers are alike here
     single = _mix(codes)
     double = _mix(codes[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[1:]) if len(codes) > 1 else np.zeros(0, dtype=np.uint64)
     at = first[:, None] + np.arange(WINDOW)[None, :]
@@ -108,11 +117,9 @@ class Space:
     wanted: np.ndarray  # sorted codes of the items' features
     basis: np.ndarray | None = None  # FEATURES x rank
 
-    def vectors(self, words: list[list[str]], hasher: Hasher):
+    def vectors(self, codes: np.ndarray, lengths: np.ndarray):
         """text of each window, norm over all features, and (window, column, weight) of the wanted features, by window."""
-        lengths = np.array([len(w) for w in words], dtype=np.int64)
         text, first, last = windows(lengths)
-        codes = hasher.codes([x for w in words for x in w])
         win, code = features(codes, first, last)
         # equal features of a window add up
         order = np.lexsort((code, win))
@@ -139,78 +146,98 @@ class Space:
         return out
 
 
-def _summed(parts: DataFrame, width: int) -> np.ndarray:
-    """Sum of the tasks' parts, block by block; the result has a fixed size."""
+def _summed(parts: DataFrame, kind: type) -> np.ndarray:
+    """Sum of the tasks' parts, slot by slot; the result has a fixed size."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, dtype=np.float64) for x in pdf["data"]], axis=0)
+        total = np.frombuffer(pdf["data"].iloc[0], dtype=kind).copy()
+        for x in pdf["data"].iloc[1:]:
+            total += np.frombuffer(x, dtype=kind)
         return pd.DataFrame({"slot": [pdf["slot"].iloc[0]], "data": [total.tobytes()]})
 
-    got = {r.slot: np.frombuffer(r.data, dtype=np.float64) for r in parts.groupBy("slot").applyInPandas(add, "slot int, data binary").collect()}
-    if not got:
-        return np.zeros((0, width))
-    return np.concatenate([got[k] for k in sorted(got)]).reshape(-1, width)
+    got = {r.slot: np.frombuffer(r.data, dtype=kind) for r in parts.groupBy("slot").applyInPandas(add, PARTS).collect()}
+    return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros(0)
+
+
+def encode(documents: DataFrame) -> DataFrame:
+    """doc_id and the codes of the words of each text, in order; tokenised once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher()
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "codes": [hasher.codes(tokens_of(x)) for x in pdf["text"]]})
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, codes array<bigint>")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, concatenated codes and lengths of some texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            codes = part.column("codes")
+            yield part.column("doc_id"), codes.flatten().to_numpy(zero_copy_only=False).astype(np.uint64), np.asarray(codes.value_lengths().fill_null(0), dtype=np.int64)
 
 
-def _parts(total: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"slot": np.arange(SLOTS, dtype=np.int32), "data": [x.tobytes() for x in np.split(total.astype(np.float64).ravel(), SLOTS)]})
+PARTS = "slot int, data binary"
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, float]:
+def _batch(slots: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(data, pa.binary())], ["slot", "data"])
+
+
+def document_frequencies(coded: DataFrame) -> tuple[np.ndarray, float]:
     """Windows that hold each hashed feature, over all texts, and the number of windows."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n, hasher = np.zeros(DF_SIZE), 0, Hasher()
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                words = [tokens_of(x) for x in pdf["text"].iloc[at : at + 256]]
-                _, first, last = windows(np.array([len(w) for w in words], dtype=np.int64))
-                win, code = features(hasher.codes([x for w in words for x in w]), first, last)
-                slot = np.unique(win.astype(np.uint64) * np.uint64(DF_SIZE) + code % np.uint64(DF_SIZE)) % np.uint64(DF_SIZE)
-                df += np.bincount(slot.astype(np.int64), minlength=DF_SIZE)
-                n += len(first)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(DF_SIZE, dtype=np.float64), 0
+        for _, codes, lengths in _chunks(batches):
+            _, first, last = windows(lengths)
+            win, code = features(codes, first, last)
+            slot = np.sort(win.astype(np.int64) * DF_SIZE + (code % np.uint64(DF_SIZE)).astype(np.int64))
+            slot = slot[np.r_[True, slot[1:] != slot[:-1]]] if len(slot) else slot
+            df += np.bincount(slot % DF_SIZE, minlength=DF_SIZE)
+            n += len(first)
         if n:
-            df[0] += 0
-            yield _parts(df)
-            yield pd.DataFrame({"slot": np.array([SLOTS], dtype=np.int32), "data": [np.array([float(n)]).tobytes()]})
+            yield _batch([*range(SLOTS), SLOTS], [*(x.tobytes() for x in np.split(df, SLOTS)), np.array([float(n)]).tobytes()])
 
-    total = _summed(texts.select("text").mapInPandas(run, "slot int, data binary"), 1).ravel()
+    total = _summed(coded.select("doc_id", "codes").mapInArrow(run, PARTS), np.float64)
     return (total[:DF_SIZE], float(total[DF_SIZE])) if len(total) else (np.zeros(DF_SIZE), 0.0)
 
 
-def latent_basis(texts: DataFrame, space: Space, own: list[list[str]], rank: int = RANK) -> np.ndarray:
+def latent_basis(coded: DataFrame, space: Space, own: list[list[int]], rank: int = RANK) -> np.ndarray:
     """Right singular vectors of the TF-IDF passages of the corpus and of the items (``own``)."""
 
+    def add(codes: np.ndarray, lengths: np.ndarray, b: np.ndarray, total: np.ndarray) -> None:
+        _, norm, win, col, weight = space.vectors(codes, lengths)
+        if len(win):
+            y = Space.project(len(norm), win, col, weight, b)
+            order = np.argsort(col, kind="stable")
+            c = col[order]
+            cut_at = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            total[c[cut_at]] += np.add.reduceat(y[win[order]] * weight[order][:, None], cut_at, axis=0)
+
     def gram(b: np.ndarray) -> np.ndarray:
-        small = b.astype(np.float32)
-
-        def of(words: list[list[str]], hasher: Hasher, total: np.ndarray) -> None:
-            _, norm, win, col, weight = space.vectors(words, hasher)
-            if len(win):
-                y = Space.project(len(norm), win, col, weight, small)
-                order = np.argsort(col, kind="stable")
-                c = col[order]
-                cut = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                total[c[cut]] += np.add.reduceat(y[win[order]] * weight[order][:, None], cut, axis=0)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, hasher = np.zeros((FEATURES, small.shape[1]), dtype=np.float32), Hasher()
-            some = False
-            for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    of([tokens_of(x) for x in pdf["text"].iloc[at : at + 256]], hasher, total)
-                    some = True
+        b = b.astype(np.float32)
+        sent = coded.sparkSession.sparkContext.broadcast((space, b))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            b = sent.value[1]
+            total, some = np.zeros((FEATURES, b.shape[1]), dtype=np.float32), False
+            for _, codes, lengths in _chunks(batches):
+                add(codes, lengths, b, total)
+                some = True
             if some:
-                yield _parts(total)
+                yield _batch(list(range(SLOTS)), [x.tobytes() for x in np.split(total, SLOTS)])
 
-        out = _summed(texts.select("text").mapInPandas(run, "slot int, data binary"), small.shape[1])
-        mine = np.zeros((FEATURES, small.shape[1]), dtype=np.float32)
+        out = _summed(coded.select("doc_id", "codes").mapInArrow(run, PARTS), np.float32)
+        mine = np.zeros((FEATURES, b.shape[1]), dtype=np.float32)
         for at in range(0, len(own), 256):
-            of(own[at : at + 256], Hasher(), mine)
-        return out + mine if len(out) else mine.astype(np.float64)
+            add(*joined(own[at : at + 256]), b, mine)
+        return (out.reshape(mine.shape) + mine if len(out) else mine).astype(np.float64)
 
-    b = np.random.Generator(np.random.Philox(7)).standard_normal((FEATURES, rank + MORE))
-    q, _ = np.linalg.qr(gram(b))
+    start = np.random.Generator(np.random.Philox(7)).standard_normal((FEATURES, rank + MORE))
+    q, _ = np.linalg.qr(gram(start))
     small = q.T @ gram(q)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     return (q @ vectors[:, np.argsort(values)[::-1][:rank]]).astype(np.float32)
@@ -219,7 +246,7 @@ def latent_basis(texts: DataFrame, space: Space, own: list[list[str]], rank: int
 # --- exact check -------------------------------------------------------------------------------
 
 
-def pieces(a: list[str], b: list[str], least: int = PIECE, grams: dict[tuple, list[int]] | None = None) -> list[tuple[int, int, int, int, int]]:
+def pieces(a: list, b: list, least: int = PIECE, grams: dict[tuple, list[int]] | None = None) -> list[tuple[int, int, int, int, int]]:
     """Runs of common words of item ``a`` and text ``b``: a from, a to, b from, b to, equal words.
 
     A run goes on over one altered, inserted or missing word (a hyphenated one may count as two).
@@ -261,14 +288,14 @@ def pieces(a: list[str], b: list[str], least: int = PIECE, grams: dict[tuple, li
     return out
 
 
-def trigrams(a: list[str]) -> dict[tuple, list[int]]:
+def trigrams(a: list) -> dict[tuple, list[int]]:
     out = defaultdict(list)
     for i in range(len(a) - 2):
         out[a[i], a[i + 1], a[i + 2]].append(i)
     return out
 
 
-def carried(a: list[str], b: list[str], least: int = PIECE, grams: dict[tuple, list[int]] | None = None) -> int:
+def carried(a: list, b: list, least: int = PIECE, grams: dict[tuple, list[int]] | None = None) -> int:
     """Words of item ``a`` that text ``b`` carries: the best chain of pieces in the order of both."""
     found = sorted(set(pieces(a, b, least, grams)), key=lambda p: (p[1], p[3]))
     best: list[int] = []
@@ -283,8 +310,16 @@ def carried(a: list[str], b: list[str], least: int = PIECE, grams: dict[tuple, l
     return max(best, default=0)
 
 
-def leaks(item: list[str], text: list[str], share: float = SHARE, least: int = PIECE, grams=None) -> int:
-    """Words carried if they reach the share, else 0."""
+def leaks(item: list, text: list, share: float = SHARE, least: int = PIECE, grams: dict | None = None, seen: set | None = None) -> int:
+    """Words carried if they reach the share, else 0.
+
+    A run begins at three common words, and of four words of a run one is altered at most; so a text with
+    less than a quarter as many common threes as the share needs is no leak.
+    """
+    grams = trigrams(item) if grams is None else grams
+    seen = set(zip(text, text[1:], text[2:], strict=False)) if seen is None else seen
+    if len(grams.keys() & seen) < 0.25 * share * len(item) - 3:
+        return 0
     n = carried(item, text, least, grams)
     return n if item and n >= share * len(item) else 0
 
@@ -302,68 +337,66 @@ def find_leaks(documents: DataFrame, items: DataFrame, cosine: float = LEAST_COS
     candidates of the latent search (words 0).
     """
     spark = documents.sparkSession
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     query = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     total = query.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     if not total:
         return spark.createDataFrame([], OUT)
     blocks = -(-total // BLOCK_CHARS)
-    df, n = document_frequencies(texts)
+    coded = cut(encode(documents))
+    df, n = document_frequencies(coded)
     idf = np.log((n + 1) / (df + 1) + 1).astype(np.float32)
     out = None
     for k in range(blocks):
         own = query.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        part = _block(texts, [(r.item_id, tokens_of(r.text)) for r in own], idf, cosine, check)
+        part = _block(coded, [(r.item_id, tokens_of(r.text)) for r in own], idf, cosine, check)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _block(texts: DataFrame, own: list[tuple], idf: np.ndarray, cosine: float, check: bool) -> DataFrame:
-    own = [(i, w) for i, w in own if w]
-    words = [w for _, w in own]
+def _block(coded: DataFrame, own: list[tuple], idf: np.ndarray, cosine: float, check: bool) -> DataFrame:
     hasher = Hasher()
-    _, first, last = windows(np.array([len(w) for w in words], dtype=np.int64))
-    _, code = features(hasher.codes([x for w in words for x in w]), first, last)
-    space = Space(idf, np.unique(code))
-    if not words:
-        return texts.sparkSession.createDataFrame([], OUT)
-    basis = latent_basis(texts, space, words)
-    owner, norm, win, col, weight = space.vectors(words, hasher)
-    latent = Space.project(len(norm), win, col, weight, basis) / np.maximum(norm, 1e-9)[:, None]
-    shared = texts.sparkSession.sparkContext.broadcast((space, basis, latent.astype(np.float32), owner, own))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = [(i, hasher.codes(w)) for i, w in own if w]
+    if not own:
+        return coded.sparkSession.createDataFrame([], OUT)
+    codes, lengths = joined([w for _, w in own])
+    _, first, last = windows(lengths)
+    space = Space(idf, np.unique(features(codes, first, last)[1]))
+    basis = latent_basis(coded, space, [w for _, w in own])
+    owner, norm, win, col, weight = space.vectors(codes, lengths)
+    latent = (Space.project(len(norm), win, col, weight, basis) / np.maximum(norm, 1e-9)[:, None]).astype(np.float32)
+    shared = coded.sparkSession.sparkContext.broadcast((space, basis, latent, owner, own))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, basis, latent, owner, own = shared.value
-        hasher, grams = Hasher(), {}
-        size = np.sqrt((latent.astype(np.float64) ** 2).sum(axis=1)).max() if len(latent) else 0.0
-        for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), 128):
-                ids = pdf["doc_id"].iloc[at : at + 128].tolist()
-                words = [tokens_of(x) for x in pdf["text"].iloc[at : at + 128]]
-                text, norm, win, col, weight = space.vectors(words, hasher)
-                if not len(win):
-                    continue
-                y = Space.project(len(norm), win, col, weight, basis) / np.maximum(norm, 1e-9)[:, None]
-                live = np.flatnonzero(np.sqrt((y * y).sum(axis=1)) * size >= cosine)  # no cosine exceeds the product of lengths
-                if not len(live):
-                    continue
-                best: dict[tuple[int, int], float] = {}
-                for part in np.array_split(live, max(1, len(live) // 512)):
-                    c = y[part] @ latent.T
-                    for r, q in zip(*np.nonzero(c >= cosine), strict=True):
-                        key = (int(text[part[r]]), int(owner[q]))
-                        best[key] = max(best.get(key, 0.0), float(c[r, q]))
-                for (d, q), c in best.items():
-                    item = own[q]
-                    if q not in grams:
-                        grams[q] = trigrams(item[1])
-                    n = leaks(item[1], words[d], grams=grams[q]) if check else 0
-                    if n or not check:
-                        rows.append((ids[d], item[0], n, len(item[1]), c))
+        grams: dict[int, dict] = {}
+        size = float(np.sqrt((latent * latent).sum(axis=1)).max())
+        across = np.ascontiguousarray(latent.T)
+        for ids, codes, lengths in _chunks(batches):
+            text, norm, win, col, weight = space.vectors(codes, lengths)
+            if not len(win):
+                continue
+            y = Space.project(len(norm), win, col, weight, basis) / np.maximum(norm, 1e-9)[:, None].astype(np.float32)
+            live = np.flatnonzero(np.sqrt((y * y).sum(axis=1)) * size >= cosine)  # no cosine exceeds the product of lengths
+            if not len(live):
+                continue
+            best = np.full((len(lengths), len(own)), -1.0, dtype=np.float32)
+            for part in np.array_split(live, max(1, len(live) // 512)):
+                c = y[part] @ across
+                r, q = np.nonzero(c >= cosine)
+                np.maximum.at(best, (text[part[r]], owner[q]), c[r, q])
+            ends = np.cumsum(lengths)
+            rows, words_of = [], {}
+            for d, q in zip(*(x.tolist() for x in np.nonzero(best >= 0)), strict=True):
+                item_id, item = own[q]
+                if d not in words_of:
+                    w = codes[ends[d] - lengths[d] : ends[d]].tolist()
+                    words_of[d] = w, set(zip(w, w[1:], w[2:], strict=False))
+                if check and q not in grams:
+                    grams[q] = trigrams(item)
+                n = leaks(item, words_of[d][0], grams=grams[q], seen=words_of[d][1]) if check else 0
+                if n or not check:
+                    rows.append((ids[d].as_py(), item_id, n, len(item), float(best[d, q])))
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "item_words", "cosine"])
-                out["doc_id"], out["item_id"] = out["doc_id"].astype("Int64"), out["item_id"].astype("Int64")
-                yield out
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "item_id", "words", "item_words", "cosine"])
 
-    return texts.mapInPandas(search, OUT)
+    return coded.mapInArrow(search, OUT)
