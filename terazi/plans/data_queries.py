@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terazi.operators.drift import Drift
 from terazi.operators.faults import find_faults
 from terazi.operators.grid import missing_days, to_grid
 from terazi.operators.rolling import trailing
@@ -26,6 +27,18 @@ def p3_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing(table(spark, sf_dir, "general"))
 
 
+def drift(spark: SparkSession, sf_dir: str) -> Drift:
+    return Drift(table(spark, sf_dir, "allocation_raw"), [table(spark, sf_dir, f"allocation_h{k}") for k in (1, 2, 3, 4)])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift(spark, sf_dir).report()
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift(spark, sf_dir).table()
+
+
 def p5_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_changes(table(spark, sf_dir, "fund_snapshots"))
 
@@ -42,7 +55,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_faults(spark, sf_dir).select("kayit_no", "field")
 
 
-DATA_QUERIES = {"p1_grid": p1_grid, "p1_found": p1_found, "p3_trailing": p3_trailing, "p5_changes": p5_changes, "p5_found": p5_found, "p7_faults": p7_faults, "p7_found": p7_found}
+DATA_QUERIES = {"p1_grid": p1_grid, "p1_found": p1_found, "p3_trailing": p3_trailing, "p4_found": p4_found, "p4_table": p4_table, "p5_changes": p5_changes, "p5_found": p5_found, "p7_faults": p7_faults, "p7_found": p7_found}
 
 #: Characters taken as blanks around codes and titles.
 BLANK = "' ' || chr(9) || chr(13) || chr(10) || chr(160)"
