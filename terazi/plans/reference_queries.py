@@ -75,9 +75,9 @@ def flow_decomposition(spark: SparkSession, d: str) -> DataFrame:
 FEATURES = ("fund_return", "aum_change", "aum_change_pct", "unit_change", "unit_change_pct", "flow_aum", "flow_unit", "flow_aum_pct", "flow_unit_pct", "flow_diff", "flow_per_holder")
 
 
-@query(f"""WITH {P}, {F_SQL} SELECT fund_code, date, date_diff('day', prev_date, date) AS days_since_prev, CAST(holders - prev_holders AS DOUBLE) AS holder_change, round(fund_return, 6) AS fund_return, round(aum - prev_aum, 6) AS aum_change,
-  round(aum / nullif(prev_aum, 0) - 1, 6) AS aum_change_pct, round(units - prev_units, 6) AS unit_change, round(units / nullif(prev_units, 0) - 1, 6) AS unit_change_pct, round(flow_aum, 6) AS flow_aum, round(flow_unit, 6) AS flow_unit,
-  round(flow_aum / nullif(prev_aum, 0), 6) AS flow_aum_pct, round(flow_unit / nullif(prev_aum, 0), 6) AS flow_unit_pct, round(flow_aum - flow_unit, 6) + 0.0 AS flow_diff, round(flow_unit / nullif(prev_holders, 0), 6) AS flow_per_holder FROM f""")
+@query(f"""WITH {P}, {F_SQL} SELECT fund_code, date, date_diff('day', prev_date, date) AS days_since_prev, CAST(holders - prev_holders AS DOUBLE) AS holder_change, round(fund_return, 6) + 0.0 AS fund_return, round(aum - prev_aum, 6) + 0.0 AS aum_change,
+  round(aum / nullif(prev_aum, 0) - 1, 6) + 0.0 AS aum_change_pct, round(units - prev_units, 6) + 0.0 AS unit_change, round(units / nullif(prev_units, 0) - 1, 6) + 0.0 AS unit_change_pct, round(flow_aum, 6) + 0.0 AS flow_aum, round(flow_unit, 6) + 0.0 AS flow_unit,
+  round(flow_aum / nullif(prev_aum, 0), 6) + 0.0 AS flow_aum_pct, round(flow_unit / nullif(prev_aum, 0), 6) + 0.0 AS flow_unit_pct, round(flow_aum - flow_unit, 6) + 0.0 AS flow_diff, round(flow_unit / nullif(prev_holders, 0), 6) + 0.0 AS flow_per_holder FROM f""")
 def flow_features_daily(spark: SparkSession, d: str) -> DataFrame:
     return panel.flow_features(supplier_month(spark, d)).select("fund_code", "date", "days_since_prev", "holder_change", *r(*FEATURES))
 
