@@ -21,6 +21,8 @@ FIELDS = ("flow_pct", "market_effect_pct")
 TARGETS = (10, 50, 100, 250, 500, 750, 900, 950, 990)
 #: Grid steps per unit: an absolute error of 5e-7 at most.
 STEPS = 1_000_000
+#: Slices with a target rank that are sent to every task; more are joined by a shuffle.
+SENT_SLICES = 20_000
 
 
 def label(c: Column) -> Column:
@@ -54,13 +56,20 @@ def percentiles(counts: DataFrame, targets: Sequence[int] = TARGETS, steps: int
     median of an even number is the lower one. A group without values gives no rows.
     """
     group = ["archetype", "field"]
-    total = counts.groupBy(*group, slice_of(F.col("step")).alias("slice"), "step").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("slice", slice_of(F.col("step")))
     before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = total.groupBy(*group, "slice").agg(F.sum("n").alias("size")).withColumns({"offset": F.coalesce(F.sum("size").over(before), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(*group))})
+    slices = counts.groupBy(*group, "slice").agg(F.sum("n").alias("size")).withColumns({"offset": F.coalesce(F.sum("size").over(before), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(*group))})
     ranks = slices.withColumn("permille", F.explode(F.array(*(F.lit(int(t)) for t in targets)))).withColumn("rank", F.greatest(F.lit(1), F.expr("(permille * `all` + 999) div 1000")))
-    wanted = ranks.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size")))
-    sliced = total.alias("t").join(wanted.groupBy(*group, "slice").agg(F.first("offset").alias("offset"), F.first("all").alias("all"), F.collect_list(F.struct("permille", "rank")).alias("targets")).alias("w"), [F.col(f"t.{c}").eqNullSafe(F.col(f"w.{c}")) for c in (*group, "slice")])
-    run = Window.partitionBy("t.archetype", "t.field", "t.slice").orderBy("t.step")
-    at = sliced.select("t.archetype", "t.field", "t.step", "t.n", "w.all", "w.targets", (F.col("w.offset") + F.sum("t.n").over(run)).alias("upto"))
-    hits = at.select("archetype", "field", "step", "all", F.explode(F.filter("targets", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("n")))).alias("x"))
-    return hits.select("archetype", "field", F.col("x.permille").alias("permille"), (F.col("step") / steps).alias("value"), F.col("x.rank").alias("rank"), F.col("all").alias("n"))
+    within = ranks.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size")))
+    wanted = within.groupBy(*group, "slice").agg(F.first("offset").alias("offset"), F.first("all").alias("all"), F.collect_list(F.struct("permille", "rank")).alias("targets"))
+    # a row per group and target at most: sent to the tasks while there are few groups, else joined by a shuffle
+    few = wanted.limit(SENT_SLICES + 1).collect()
+    if len(few) <= SENT_SLICES:
+        wanted = F.broadcast(counts.sparkSession.createDataFrame([tuple(r) for r in few], wanted.schema))
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"w.{x}")) for x in (*group, "slice")]
+    picked = counts.alias("c").join(wanted.alias("w"), same).select(*(F.col(f"c.{x}").alias(x) for x in (*group, "slice", "step", "n")), "offset", "all", "targets")
+    total = picked.groupBy(*group, "slice", "step", "offset", "all", "targets").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(*group, "slice").orderBy("step")
+    at = total.withColumn("upto", F.col("offset") + F.sum("n").over(run))
+    hits = at.select(*group, "step", "all", F.explode(F.filter("targets", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("n")))).alias("x"))
+    return hits.select(*group, F.col("x.permille").alias("permille"), (F.col("step") / steps).alias("value"), F.col("x.rank").alias("rank"), F.col("all").alias("n"))

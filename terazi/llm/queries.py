@@ -9,6 +9,7 @@ from terazi.llm.canonical import map_founders
 from terazi.llm.leakage import find_leaks
 from terazi.llm.quality import CASES, document_quality
 from terazi.llm.quantiles import TARGETS, percentiles, value_counts
+from terazi.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles(value_counts(table(spark, sf_dir, "universe")))
+    return percentiles(cut(value_counts(table(spark, sf_dir, "universe"))))  # the partial results, kept
 
 
 def p2_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
