@@ -126,6 +126,8 @@ class Matcher:
 
     def mentions(self, words: list[str]) -> list[tuple[str, str | None]]:
         """Longest non-overlapping mentions that begin at a word: core and kind of company (None: not said)."""
+        if not self.cores:
+            return []
         text, starts, at = "".join(words), set(), 0
         for w in words:
             starts.add(at)

@@ -129,7 +129,7 @@ def line_kinds(lines: list[str], sizes: list[tuple[int, int, int]]) -> list[str]
         size = np.array([len(lines[i].strip()) for i in plain])
         ended = np.array([bool(STOP.search(lines[i])) for i in plain])
         inner = n[:-1]
-        even = (np.abs(inner - np.median(inner)) <= 1).mean() >= 0.7 and np.median(inner) >= 4
+        even = (np.abs(inner - np.median(inner)) <= 1).mean() >= 0.7 and np.median(inner) >= 5
         filled = np.median(size) >= 0.75 * size.max() and np.median(n) >= 5
         short = (n <= 7) & ~ended
         if short.mean() >= 0.6 and not even and not (filled and size.max() > 50) and np.median(n[short]) <= 5 and ended.mean() < 0.25:
