@@ -75,14 +75,15 @@ def cells_of(line: str, words: list[str]) -> tuple[int, bool]:
     for sign in ("|", "│", "\t", ";", "</td>", "</th>"):
         if sign in line:
             n = line.count(sign)
-            if n >= 2:
+            if n >= 2 and len(words) <= (3 if sign == ";" else 8) * (n + 1):  # cells, not clauses
                 best = max(best, n + (sign in "\t;"))
     if best >= 3:
         return best, True
     if "  " in line:
-        best = max(best, len(re.split(r" {2,}", line.strip())))
-        if best >= 3:
-            return best, False
+        parts = re.split(r" {2,}", line.strip())
+        values = sum(any(c.isdigit() for c in x) or x in ("-", "n/a") for x in parts)
+        if len(parts) >= 3 and (values >= 0.4 * len(parts) or "    " in line.strip()):  # else words set apart
+            return len(parts), False
     if len(words) >= 2 and "=" in line and sum(bool(PAIR.match(w)) for w in words) >= max(2, 0.6 * len(words)):
         return max(3, len(words)), True
     if line.count(",") >= 2:
@@ -117,7 +118,7 @@ def line_kinds(lines: list[str], sizes: list[tuple[int, int, int]]) -> list[str]
             kinds.append("table")
         elif letters < 0.4 * solid and not BULLET.match(line):
             kinds.append("junk" if digits < 0.5 * solid else "table")
-        elif (BULLET.match(line) and not (counts[i] > 4 and STOP.search(line))) or (("..." in line or ". . ." in line or "___" in line or "…" in line) and LEADER.match(line)):
+        elif (BULLET.match(line) and not (counts[i] > 4 and STOP.search(line)) and not (counts[i] > 7 and line.lstrip()[0] == "—")) or (("..." in line or ". . ." in line or "___" in line or "…" in line) and LEADER.match(line)):
             kinds.append("list")
         else:
             kinds.append("prose")
