@@ -54,7 +54,11 @@ class FaultRules:
 
 @dataclass(frozen=True)
 class Usual:
-    """What is usual for a source and field: size of a movement, shares of changing steps, readings."""
+    """What is usual for a source and field: movement from reading to reading, shares of changing steps, readings.
+
+    The movement is the median of those that aren't zero, scaled to a standard deviation, times the root of
+    their share: in a field that rarely changes, most readings don't move at all.
+    """
 
     move: float
     changing: float
@@ -79,7 +83,7 @@ def usual(y: np.ndarray, rules: FaultRules) -> Usual:
         return Usual(math.nan, 0.0, 0.0, len(y))
     _, length = equal_runs(y)
     inside = (length[1:] >= rules.stuck_length) & (d == 0)
-    return Usual(1.4826 * float(np.median(moves)), len(moves) / len(d), len(moves) / max(1, int((~inside).sum())), len(y))
+    return Usual(1.4826 * float(np.median(moves)) * math.sqrt(len(moves) / len(d)), len(moves) / len(d), len(moves) / max(1, int((~inside).sum())), len(y))
 
 
 def running_median(y: np.ndarray, half: int = 3) -> np.ndarray:
@@ -276,7 +280,7 @@ def _hot(rows: DataFrame, rules: FaultRules, parts: int) -> DataFrame:
             steps, inside, n = (int(p.get(-(10**6) - k, 0)) for k in range(3))
             m = p[p.index > -(10**6)]
             moves = int(m.sum())
-            figures |= {f"{f}_move": 1.4826 * _median_of(m.index.to_numpy(), m.to_numpy()) if moves else math.nan, f"{f}_changing": moves / max(1, steps), f"{f}_otherwise": moves / max(1, steps - inside), f"{f}_n": float(n)}
+            figures |= {f"{f}_move": 1.4826 * _median_of(m.index.to_numpy(), m.to_numpy()) * math.sqrt(moves / max(1, steps)) if moves else math.nan, f"{f}_changing": moves / max(1, steps), f"{f}_otherwise": moves / max(1, steps - inside), f"{f}_n": float(n)}
         rim = pdf[pdf["part"] == "rim"]
         blocks = sorted(rim["block"].unique())
         out = []
