@@ -32,6 +32,8 @@ RENAME_COST = 4.0
 CLOSE_SHARE, CLOSE_POINTS = 0.2, 0.05
 #: Sources that must have a weight other than zero in either field.
 LEAST_SOURCES = 3
+#: Fields of open steps that are sent to every task; more are joined by a shuffle.
+SENT_FIELDS = 100_000
 
 
 def number_of(text: Column) -> Column:
@@ -110,14 +112,22 @@ def steps_of(fields: DataFrame) -> DataFrame:
 
 
 def evidence(long: DataFrame, steps: DataFrame) -> DataFrame:
-    """Agreement of each field that left with each that entered: feed, file_seq, field, new_field, sources, agree."""
+    """Agreement of each field that left with each that entered: feed, file_seq, field, new_field, sources, agree.
+
+    Only values of such fields are shuffled, once, by step and source; a source's row then holds the few
+    fields of its step.
+    """
     open_steps = steps.filter("size(left) > 0 and size(entered) > 0")
-    values = long.filter("fund is not null and weight is not null").groupBy("feed", "file_seq", "fund", "field").agg(F.avg("weight").alias("w"))
-    old = open_steps.select("feed", "file_seq", "prior", F.explode("left").alias("field"))
-    new = open_steps.select("feed", "file_seq", F.explode("entered").alias("new_field"))
-    a = values.withColumnRenamed("file_seq", "prior").join(old, ["feed", "prior", "field"]).select("feed", "file_seq", "fund", "field", F.col("w").alias("w0"))
-    b = values.withColumnRenamed("field", "new_field").join(new, ["feed", "file_seq", "new_field"]).select("feed", "file_seq", "fund", "new_field", F.col("w").alias("w1"))
-    both = a.join(b, ["feed", "file_seq", "fund"]).filter("w0 <> 0 or w1 <> 0")
+    old = open_steps.select("feed", F.col("prior").alias("at"), F.col("file_seq").alias("step"), F.explode("left").alias("field"), F.lit(0).alias("role"))
+    new = open_steps.select("feed", F.col("file_seq").alias("at"), F.col("file_seq").alias("step"), F.explode("entered").alias("field"), F.lit(1).alias("role"))
+    wanted = old.unionByName(new)
+    few = wanted.limit(SENT_FIELDS + 1).collect()
+    if len(few) <= SENT_FIELDS:
+        wanted = F.broadcast(long.sparkSession.createDataFrame([tuple(r) for r in few], wanted.schema))
+    values = long.filter("fund is not null and weight is not null").withColumnRenamed("file_seq", "at").join(wanted, ["feed", "at", "field"])
+    each = values.groupBy("feed", "step", "fund", "role", "field").agg(F.avg("weight").alias("w"))
+    rows = each.groupBy("feed", "step", "fund").agg(*(F.collect_list(F.when(F.col("role") == k, F.struct("field", "w"))).alias(n) for k, n in enumerate(("old", "new"))))
+    both = rows.select("feed", "step", F.explode("old").alias("o"), "new").select("feed", "step", "o", F.explode("new").alias("n")).select("feed", F.col("step").alias("file_seq"), F.col("o.field").alias("field"), F.col("o.w").alias("w0"), F.col("n.field").alias("new_field"), F.col("n.w").alias("w1")).filter("w0 <> 0 or w1 <> 0")
     near = F.abs(F.col("w0") - F.col("w1")) <= F.greatest(F.lit(CLOSE_POINTS), CLOSE_SHARE * F.greatest(F.abs("w0"), F.abs("w1")))
     return both.groupBy("feed", "file_seq", "field", "new_field").agg(F.count("*").alias("sources"), F.count_if(near).alias("agree"))
 
@@ -231,7 +241,7 @@ CHANGES = "feed string, file_seq int, change string, field string, new_field str
 
 def changes(fields: DataFrame, long: DataFrame) -> DataFrame:
     """The script of every step: feed, file_seq (of the later file), change, field, new_field (empty unless renamed or moved)."""
-    steps = steps_of(fields)
+    steps = cut(steps_of(fields))  # a row per file
     proof = evidence(long, steps).groupBy("feed", "file_seq").agg(F.collect_list(F.struct("field", "new_field", "sources", "agree")).alias("proof"))
     rows = steps.select("feed", "file_seq", "before", "after", "left", "entered").join(proof, ["feed", "file_seq"], "left")
 
@@ -288,6 +298,7 @@ class Drift:
         if tables:
             self.fields = self.fields.unionByName(table_fields(raw.sparkSession, tables))
             self.long = records.unionByName(table_long(tables))
+        self.fields = cut(self.fields)  # a row per file and field
 
     def report(self) -> DataFrame:
         return changes(self.fields, self.long)
