@@ -125,3 +125,29 @@ def similar(lens: DataFrame, group: str = "archetype", each_side: int = 3) -> Da
     sides = lens.select("fund_code", *(F.lag("fund_code", k).over(w).alias(f"m{k}") for k in range(1, each_side + 1)), *(F.lead("fund_code", k).over(w).alias(f"p{k}") for k in range(1, each_side + 1)))
     pairs = F.array(*(F.struct(F.col(f"{s}{k}").alias("other"), F.lit(k if s == "p" else -k).alias("step")) for s in "mp" for k in range(1, each_side + 1)))
     return sides.select("fund_code", F.explode(pairs).alias("x")).select("fund_code", "x.other", "x.step").filter("other is not null")
+
+
+def validation(lens: DataFrame) -> DataFrame:
+    """One row: funds, invalid ones, missing ratios, extremes of flow and market effect, repeated codes."""
+    return lens.agg(
+        F.count("*").alias("funds"), F.count_if(~F.col("is_valid")).alias("invalid"), F.count_if(F.col("flow_pct").isNull()).alias("missing_flow"), F.count_if(F.col("market_effect_pct").isNull()).alias("missing_effect"),
+        *(f(c).alias(f"{n}_{c}") for c in ("flow_pct", "market_effect_pct") for n, f in (("min", F.min), ("max", F.max))), (F.count("*") - F.count_distinct("fund_code")).alias("repeated_codes"),
+    )
+
+
+def founder_totals(universes: list[DataFrame]) -> DataFrame:
+    """Funds, size and flow of each founder over several universes (frames with fund_name), largest first."""
+    from functools import reduce
+
+    from terazi.functions.labels import founder
+
+    both = reduce(DataFrame.unionByName, (u.select("fund_code", founder(F.col("fund_name")).alias("founder"), "start_aum", "end_aum", "net_flow", "is_valid") for u in universes))
+    g = both.groupBy("founder").agg(F.count("*").alias("funds"), F.count_if("is_valid").alias("analysed"), F.sum("start_aum").alias("start_aum"), F.sum("end_aum").alias("end_aum"), F.sum("net_flow").alias("net_flow"))
+    return g.withColumn("flow_pct", div(F.col("net_flow"), F.col("start_aum"))).orderBy(F.desc_nulls_last("start_aum"), "founder")
+
+
+def listed_titles(listed: DataFrame, panel: DataFrame) -> DataFrame:
+    """Fund codes of listed titles: both sides upper case, letters and digits only. listed: a column title."""
+    key = lambda c: F.regexp_replace(F.upper(F.translate(c, "iı", "İI")), "[^0-9A-ZÇĞİÖŞÜ]", "")
+    codes = panel.select("fund_code", key(F.col("fund_name")).alias("k")).filter("k <> ''").distinct()
+    return listed.withColumn("k", key(F.col("title"))).join(codes, "k", "left").select("title", "fund_code")

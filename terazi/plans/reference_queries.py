@@ -304,6 +304,17 @@ def dominant_quadrant(spark: SparkSession, d: str) -> DataFrame:
     return lens.dominant(_lens(spark, d)).select("archetype", "dominant_quadrant", *r("dominant_quadrant_share"), "dominance_strength", *r("total_start_aum", digits=4))
 
 
+@query(f"""WITH {LENS_SQL} SELECT count(*) AS funds, count(*) FILTER (WHERE NOT is_valid) AS invalid, count(*) FILTER (WHERE flow_pct IS NULL) AS missing_flow, count(*) FILTER (WHERE market_effect_pct IS NULL) AS missing_effect, round(min(flow_pct), 6) AS min_flow_pct, round(max(flow_pct), 6) AS max_flow_pct,
+  round(min(market_effect_pct), 6) AS min_market_effect_pct, round(max(market_effect_pct), 6) AS max_market_effect_pct, count(*) - count(DISTINCT fund_code) AS repeated_codes FROM lens""")
+def universe_validation(spark: SparkSession, d: str) -> DataFrame:
+    return lens.validation(_lens(spark, d)).select("funds", "invalid", "missing_flow", "missing_effect", *r("min_flow_pct", "max_flow_pct", "min_market_effect_pct", "max_market_effect_pct"), "repeated_codes")
+
+
+@query(f"""WITH {LENS_SQL} SELECT split_part(fund_name, ' ', 1) AS founder, count(*) AS funds, count(*) FILTER (WHERE is_valid) AS analysed, round(sum(start_aum), 4) AS start_aum, round(sum(net_flow) / nullif(sum(start_aum), 0), 4) AS flow_pct FROM lens GROUP BY 1""")
+def founder_totals(spark: SparkSession, d: str) -> DataFrame:
+    return lens.founder_totals([_lens(spark, d)]).select("founder", "funds", "analysed", *r("start_aum", "flow_pct", digits=4))
+
+
 def _top_sql(by: str, n: int, where: str = "true", order: str = "DESC") -> str:
     return f"WITH {LENS_SQL} SELECT fund_code, round({by}, 6) AS {by} FROM lens WHERE {where} ORDER BY lens.{by} {order} NULLS LAST, fund_code LIMIT {n}"
 

@@ -155,3 +155,13 @@ def test_blocks_of_a_hot_source_give_the_same_faults(spark):
     assert len(one) > 15 and one == key(find_faults(df, block_rows=90))
     assert len(one) == len(set(one))
     assert find_faults(general(spark, [])).count() == 0
+
+
+def test_many_hot_sources_are_joined(spark):
+    from terazi.operators.series import reading_rows, split_hot
+
+    rows = reading_rows(general(spark, rows_of(funds=("AAA", "BBB", "CCC"), hot="BBB", days=40)))
+    one, two = split_hot(rows, 20), split_hot(rows, 20, hot_list=1)
+    key = lambda d: sorted(map(tuple, d.select("fund", "t", "block").collect()))
+    assert key(one.hot) == key(two.hot) and one.cold.count() == two.cold.count() == 0
+    assert {r.fund for r in split_hot(rows, 100).hot.select("fund").distinct().collect()} == {"BBB"}

@@ -10,6 +10,7 @@ from terazi import cli
 from terazi.operators import lens
 from terazi.config import LensConfig
 from terazi.reports.markdown import fund_sentences, market_report, selected_report
+from terazi.reports.snapshot import dominance_comments, fund_snapshot, group_comments, snapshot_text
 from terazi.sources import readers, store
 from terazi.sources.fetch import FetchConfig, fetch_period, fetch_strict, month_chunks, payload
 from terazi.streaming.ingest import daily_totals, stream_general, upsert
@@ -174,6 +175,14 @@ def test_reports_and_command_line(spark, tmp_path):
         assert word in text and "AAA" in text
         assert "BBB" in selected_report(u, [" bbb"], language) and "AAA" not in selected_report(u, ["bbb"], language)
         assert fund_sentences(u.orderBy("fund_code").first(), language).startswith("AAA")
+    snap = fund_snapshot(general_, allocation, " aaa ", LensConfig(lookback=5))
+    assert snap["tables"]["broad"][0] == ("Fixed Income", 80.0) and fund_snapshot(general_, allocation, "ZZZ") is None
+    assert "Fixed Income" in snapshot_text(snap) and "Sabit Getirili" in snapshot_text(snap, "tr")
+    assert group_comments(u, "archetype") and dominance_comments(u, "tr") and group_comments(u.limit(0), "archetype") == []
+    assert lens.validation(u).first().repeated_codes == 0
+    assert [(r.founder, r.funds) for r in lens.founder_totals([u, u]).collect()] == [("İŞ PORTFÖY", 4)]
+    listed = spark.createDataFrame([("iş portföy-fon",), ("YOK",)], "title string")
+    assert {(r.title, r.fund_code) for r in lens.listed_titles(listed, general_).collect()} == {("iş portföy-fon", "AAA"), ("iş portföy-fon", "BBB"), ("YOK", None)}
     base = ["--general", str(tmp_path / "g"), "--allocation", str(tmp_path / "a")]
     out = str(tmp_path / "out" / "r.md")
     assert cli.main(["report", *base, "--lookback", "5", "--language", "tr", "--output", out], spark) == 0
