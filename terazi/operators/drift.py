@@ -37,11 +37,11 @@ SENT_FIELDS = 100_000
 
 
 def number_of(text: Column) -> Column:
-    """Number written as text: outer blanks, a percent sign, comma or point; null if it is none."""
-    t = F.regexp_replace(F.regexp_replace(text, "[\\s\\u00a0]+", ""), "%$", "")
-    both = t.contains(",") & t.contains(".")
-    dot_last = F.instr(F.reverse(t), ".") < F.instr(F.reverse(t), ",")
-    t = F.when(both & dot_last, F.regexp_replace(t, ",", "")).when(both, F.regexp_replace(F.regexp_replace(t, "\\.", ""), ",", ".")).otherwise(F.regexp_replace(t, ",", "."))
+    """Number written as text, with blanks, a percent sign, a decimal comma or point (the last sign, if both occur); null if it is none."""
+    t = F.translate(text, " \t\r\n\u00a0%", "")
+    mixed = t.contains(",") & t.contains(".")
+    comma_last = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
+    t = F.when(~mixed, F.translate(t, ",", ".")).when(comma_last, F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
     x = t.try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 

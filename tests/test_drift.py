@@ -115,3 +115,13 @@ def test_snapshots_against_brute_force(spark):
 def test_two_pointers():
     assert list(merge([("a", 1), ("b", 2)], [("b", 3), ("c", None)])) == [("a", "removed", 1, None), ("b", "changed", 2, 3), ("c", "added", None, None)]
     assert list(merge([], [])) == []
+
+
+def test_numbers_in_texts(spark):
+    from pyspark.sql import functions as F
+
+    from terazi.operators.drift import number_of
+
+    cases = {" 3.17": 3.17, "7,28": 7.28, "30,53%": 30.53, "1.234,5": 1234.5, "1,234.5": 1234.5, "": None, "n/a": None, "-2": -2.0, "NaN": None, None: None, "1e400": None}
+    got = {r.t: r.x for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", number_of(F.col("t")).alias("x")).collect()}
+    assert got == cases
