@@ -16,6 +16,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores, where a scan has fewer partitions than there are cores (a small file with one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset, as in local tests, a temporary one."""
     sc = spark.sparkContext
