@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terazi.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits text into pieces before the merges (a fixed value of the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -229,7 +231,7 @@ def encode_column(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
         for s in texts:
             yield pd.Series([t.encode(x) for x in s], dtype=object)
 
-    return documents.select("doc_id", ids("text").alias("ids"))
+    return spread(documents.select("doc_id", "text"), "doc_id").select("doc_id", ids("text").alias("ids"))
 
 
 def round_trip(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:

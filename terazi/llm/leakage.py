@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terazi.session import cut
+from terazi.session import cut, spread
 
 WINDOW, STRIDE = 24, 12
 #: Hashed document frequencies; hashed features of the latent space; its rank and oversampling.
@@ -167,7 +167,8 @@ def encode(documents: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "codes": [hasher.codes(tokens_of(x)) for x in pdf["text"]]})
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id bigint, codes array<bigint>")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return spread(texts, "doc_id").mapInPandas(run, "doc_id bigint, codes array<bigint>")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int = 256) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:

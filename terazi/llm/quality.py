@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terazi.session import cut
+from terazi.session import cut, spread
 
 # Frequent words of each language, in alphabetical order.
 COMMON = {
@@ -236,7 +236,8 @@ def measure(documents: DataFrame) -> DataFrame:
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string")).mapInPandas(run, MEASURED)
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
+    return spread(texts, "doc_id").mapInPandas(run, MEASURED)
 
 
 def chi_square(p: int, z: float) -> float:
