@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,8 @@ FAMILIES = {
     "Real Estate / Alternative": "Alternative", "Venture Capital / Alternative": "Alternative", "Foreign Securities": "Alternative", "Derivatives": "Alternative", "Other": "Other",
 }
 VERSION = 1
-#: Funds that the silhouette is taken over at most.
-SILHOUETTE_FUNDS = 4000
+#: Funds that the silhouette compares with all others at once; funds that a task treats at once.
+BLOCK, CHUNK = 2048, 512
 
 
 def family(group: str) -> str:
@@ -125,31 +127,88 @@ def wide(long: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     return v.select(*keys, F.array(*(F.col(f"v{i}") for i in range(len(features)))).alias("vector"))
 
 
-def silhouette(labelled: DataFrame, most: int = SILHOUETTE_FUNDS) -> float:
-    """Mean Euclidean silhouette of rows with fund_code, vector, class_id; exact up to ``most`` funds.
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of ``x`` to those of ``y``, by differences: 0 for equal rows."""
+    out = np.zeros((len(x), len(y)))
+    for f in range(x.shape[1]):
+        d = x[:, f, None] - y[None, :, f]
+        out += d * d
+    return out
+
+
+def _members(label: np.ndarray, n: int) -> np.ndarray:
+    return (label[:, None] == np.arange(n)[None, :]).astype(np.float64)
+
+
+def _reduced(data: DataFrame, f: Callable, given: object, merge: Callable = np.add) -> np.ndarray:
+    """``f(vectors, other columns, given)`` of all rows by ``CHUNK``, an array of doubles, merged in each task and then in a tree."""
+    sent = data.sparkSession.sparkContext.broadcast(given)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                rest = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+                for k in range(0, len(x), CHUNK):
+                    part = f(x[k : k + CHUNK], [c[k : k + CHUNK] for c in rest], sent.value)
+                    total = part if total is None else merge(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    try:
+        return data.mapInArrow(run, "part binary").rdd.map(lambda r: np.frombuffer(r["part"])).treeReduce(merge)
+    finally:
+        sent.unpersist()
 
-    All pairs of distances are needed, so above that number a fixed sample of funds (smallest hashes of
-    their codes) is scored, on the driver: ``most`` vectors of at most 54 numbers, whatever the universe.
+
+def _sums(x: np.ndarray, rest: list, given: tuple) -> np.ndarray:
+    """Per fund of the block: sums of the distances to ``x`` by class, per column of classes; then the classes' sizes."""
+    block, sizes = given
+    d = np.sqrt(_squares(x, block))
+    where = np.concatenate([_members(label, n) for label, n in zip(rest, sizes, strict=True)], axis=1)
+    return np.concatenate([(d.T @ where).ravel(), where.sum(axis=0)])
+
+
+def silhouettes(labelled: DataFrame, classes: list[str]) -> list[float]:
+    """Mean Euclidean silhouette over all rows with fund_code and vector, for each column of ``classes`` (0, 1, ...); exact.
+
+    Blocks of about ``BLOCK`` funds come to the driver, one at a time, and meet all funds in the tasks,
+    which return sums of distances per class. A fund alone in its class scores 0, as does a single class.
     """
-    rows = labelled.select("fund_code", "vector", "class_id").orderBy(F.xxhash64("fund_code"), "fund_code").limit(most).collect()
-    if len({r["class_id"] for r in rows}) < 2:
-        return 0.0
-    x, own = np.array([r["vector"] for r in rows]), np.array([r["class_id"] for r in rows])
-    classes, at = np.unique(own, return_inverse=True)
-    size = np.bincount(at)
-    total = 0.0
-    for k in range(0, len(x), 256):
-        d = np.sqrt(((x[k : k + 256, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        sums = np.stack([d[:, at == c].sum(axis=1) for c in range(len(classes))], axis=1)
-        mine = at[k : k + 256]
-        i = np.arange(len(mine))
-        a = sums[i, mine] / np.maximum(size[mine] - 1, 1)
-        means = sums / size
-        means[i, mine] = np.inf
-        b = means.min(axis=1)
-        s = np.where(size[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        total += float(s.sum())
-    return total / len(x)
+    rows = labelled.select("vector", *(F.col(c).cast("long").alias(c) for c in classes), "fund_code").cache()
+    try:
+        top = rows.agg(F.count("*").alias("rows"), *(F.max(c).alias(f"c{i}") for i, c in enumerate(classes))).first()
+        if not top["rows"]:
+            return [0.0] * len(classes)
+        sizes = [top[f"c{i}"] + 1 for i in range(len(classes))]
+        blocks, totals = -(-top["rows"] // BLOCK), np.zeros(len(classes))
+        for k in range(blocks):
+            own = rows.filter(F.pmod(F.xxhash64("fund_code"), F.lit(blocks)) == k).drop("fund_code").collect()
+            if not own:
+                continue
+            out = _reduced(rows.drop("fund_code"), _sums, (np.array([r["vector"] for r in own]), sizes))
+            sums, count = out[: -sum(sizes)].reshape(len(own), -1), out[-sum(sizes) :]
+            at = 0
+            for c, n in enumerate(sizes):
+                mine, size, total = np.array([r[classes[c]] for r in own]), count[at : at + n], sums[:, at : at + n]
+                at += n
+                if (size > 0).sum() < 2:
+                    continue
+                i = np.arange(len(own))
+                a = total[i, mine] / np.maximum(size[mine] - 1, 1)
+                means = np.where(size > 0, total / np.maximum(size, 1), np.inf)
+                means[i, mine] = np.inf
+                b = means.min(axis=1)
+                totals[c] += np.where(size[mine] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0).sum()
+        return [float(t) / top["rows"] for t in totals]
+    finally:
+        rows.unpersist()
+
+
+def silhouette(labelled: DataFrame) -> float:
+    """Mean Euclidean silhouette of rows with fund_code, vector, class_id; exact, over all funds."""
+    return silhouettes(labelled, ["class_id"])[0]
 
 
 def fit(vectors: DataFrame, features: list[str], config: ClassificationConfig = ClassificationConfig()) -> Model:
