@@ -10,6 +10,7 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from terazi.config import ClassificationConfig
 from terazi.metadata import ROWS
 from terazi.operators.allocation import axes, drift, last_days, mean_codes, mean_vectors, quality_days, slices, support_weights
+from terazi.session import shuffle_partitions
 
 # Family of each broad group.
 FAMILIES = {
@@ -29,6 +31,8 @@ FAMILIES = {
 VERSION = 1
 #: Funds that the silhouette compares with all others at once; funds that a task treats at once.
 BLOCK, CHUNK = 2048, 512
+#: Steps of K-means at most; a start ends when no centre moves by more.
+STEPS, TOLERANCE = 300, 1e-4
 
 
 def family(group: str) -> str:
@@ -211,29 +215,120 @@ def silhouette(labelled: DataFrame) -> float:
     return silhouettes(labelled, ["class_id"])[0]
 
 
+def _keys(ids: np.ndarray, start: int, step: int) -> np.ndarray:
+    """Exponential variates of fund hashes, the same wherever a fund is read."""
+    with np.errstate(over="ignore"):
+        z = ids.astype(np.int64).view(np.uint64) + np.uint64(start) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step) * np.uint64(0xC2B2AE3D27D4EB4F)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return -np.log(((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54)
+
+
+def _draw(x: np.ndarray, rest: list, given: tuple) -> np.ndarray:
+    """Per start: the least key over squared distance to the centres so far, and that fund's vector (k-means++)."""
+    starts, step, centres = given
+    out = np.full((len(starts), 1 + x.shape[1]), np.inf)
+    for i, (start, c) in enumerate(zip(starts, centres, strict=True)):
+        d = _squares(x, c).min(axis=1) if step else np.ones(len(x))
+        key = np.where(d > 0, _keys(rest[0], start, step) / np.where(d > 0, d, 1.0), np.inf)
+        at = int(key.argmin())
+        if np.isfinite(key[at]):
+            out[i] = key[at], *x[at]
+    return out.ravel()
+
+
+def _lesser(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    a, b = a.reshape(-1, width), b.reshape(-1, width)
+    return np.where(a[:, :1] <= b[:, :1], a, b).ravel()
+
+
+def _moved(x: np.ndarray, rest: list, centres: list[np.ndarray]) -> np.ndarray:
+    """Per set of centres: sums and counts of the nearest funds, then the sum of squared distances."""
+    near = 2 * x @ np.concatenate(centres).T
+    square, ones, out, at = (x * x).sum(axis=1), np.concatenate([x, np.ones((len(x), 1))], axis=1), [], 0
+    for c in centres:
+        d = (c * c).sum(axis=1)[None, :] - near[:, at : at + len(c)]
+        label = d.argmin(axis=1)
+        out += [(_members(label, len(c)).T @ ones).ravel(), [np.maximum(square + d[np.arange(len(x)), label], 0).sum()]]
+        at += len(c)
+    return np.concatenate(out)
+
+
+def clusterings(data: DataFrame, ks: list[int], config: ClassificationConfig) -> dict[int, tuple[float, np.ndarray]]:
+    """Training cost and centres of the best of ``n_init`` starts, for each k; data: vector, id (a hash of the fund).
+
+    All starts of all k advance together, one pass over the data a step. A start is a k-means++ draw; the draw
+    of a smaller k is the beginning of that of a larger one. Lloyd's steps follow until no centre moves by
+    more than ``TOLERANCE``, at most ``STEPS``; a centre without funds stays where it is.
+    """
+    width = len(data.first()["vector"])
+    starts = [config.random_state + s for s in range(config.n_init)]
+    drawn = [np.zeros((0, width)) for _ in starts]
+    for step in range(max(ks)):
+        new = _reduced(data, _draw, (starts, step, drawn), partial(_lesser, width=width + 1)).reshape(len(starts), -1)
+        drawn = [np.concatenate([c, n[None, 1:]]) if np.isfinite(n[0]) else c for c, n in zip(drawn, new, strict=True)]
+    live = {(k, s): c[:k] for k in ks for s, c in enumerate(drawn)}
+    done: dict[tuple[int, int], tuple[float, np.ndarray]] = {}
+    for step in range(STEPS):
+        out, at = _reduced(data, _moved, list(live.values())), 0
+        for key, c in list(live.items()):
+            n = len(c) * (width + 1)
+            sums, cost = out[at : at + n].reshape(len(c), -1), float(out[at + n])
+            at += n + 1
+            count = sums[:, width:]
+            live[key] = np.where(count > 0, sums[:, :width] / np.maximum(count, 1), c)
+            if ((live[key] - c) ** 2).sum(axis=1).max() <= TOLERANCE**2 or step == STEPS - 1:
+                done[key] = cost, live.pop(key)
+        if not live:
+            break
+    return {k: min((done[k, s] for s in range(len(starts))), key=lambda x: x[0]) for k in ks}
+
+
+def _labelled(data: DataFrame, centres: dict[str, np.ndarray]) -> DataFrame:
+    """vector, fund_code and the nearest of the centres, a column for each set of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, -1)
+                labels = [pa.array(_squares(x, c).argmin(axis=1), pa.int64()) for c in centres.values()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *labels], ["vector", "fund_code", *centres])
+
+    return data.mapInArrow(run, "vector array<double>, fund_code string, " + ", ".join(f"{c} long" for c in centres))
+
+
+def candidates(kept: DataFrame, n: int, config: ClassificationConfig) -> list[tuple[int, float, list]]:
+    """k, silhouette and centres of the given k, or of each k of the range that is less than the funds."""
+    ks = [config.k] if config.k else list(range(config.k_range[0], min(config.k_range[1], n - 1) + 1))
+    if not ks:
+        return []
+    parts = min(-(-n // CHUNK) + 3, shuffle_partitions(kept.sparkSession))
+    data = kept.select("vector", F.xxhash64("fund_code").alias("id"), "fund_code").repartition(parts).cache()
+    try:
+        best = clusterings(data.select("vector", "id"), ks, config)
+        centres = [[list(map(float, c)) for c in best[k][1]] for k in ks]
+        labelled = _labelled(data.select("vector", "fund_code"), {f"k{k}": best[k][1] for k in ks})
+        scores = silhouettes(labelled, [f"k{k}" for k in ks])
+        return [(k, score, c) for k, score, c in zip(ks, scores, centres, strict=True) if len(c) > 1]
+    finally:
+        data.unpersist()
+
+
+def classifiable(vectors: DataFrame) -> DataFrame:
+    """Funds with a weight."""
+    return vectors.filter(F.aggregate(F.transform("vector", lambda x: F.abs(x)), F.lit(0.0), lambda s, x: s + x) > 0)
+
+
 def fit(vectors: DataFrame, features: list[str], config: ClassificationConfig = ClassificationConfig()) -> Model:
     """KMeans with the number of classes of the best silhouette; a rule on each fund's own weights for small universes."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    kept = vectors.filter(F.aggregate(F.transform("vector", lambda x: F.abs(x)), F.lit(0.0), lambda s, x: s + x) > 0).cache()
+    kept = classifiable(vectors).cache()
     try:
         n = kept.count()
-        data = kept.withColumn("features", array_to_vector("vector")).coalesce(8).cache()
-        best: tuple[float, list] | None = None
-        if n >= config.min_funds_for_model:
-            for k in [config.k] if config.k else range(config.k_range[0], min(config.k_range[1], n - 1) + 1):
-                fits = [KMeans(k=k, seed=config.random_state + s, maxIter=300).fit(data) for s in range(2 if config.k is None else min(3, config.n_init))]
-                model = min(fits, key=lambda m: m.summary.trainingCost)
-                labelled = model.transform(data).select("fund_code", "vector", F.col("prediction").alias("class_id"))
-                if len(model.clusterCenters()) < 2:
-                    continue
-                score = silhouette(labelled)
-                if best is None or score > best[0]:
-                    best = (score, [list(map(float, c)) for c in model.clusterCenters()])
-        if best is None:
+        tried = candidates(kept, n, config) if n >= config.min_funds_for_model else []
+        if not tried:
             return rule_model(kept, features, config)
-        return named(features, best[1], "kmeans", config, best[0])
+        _, score, centres = max(tried, key=lambda x: x[1])  # the first of equals
+        return named(features, centres, "kmeans", config, score)
     finally:
         kept.unpersist()
 

@@ -503,14 +503,15 @@ def drift_flag(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_classes(spark: SparkSession, d: str) -> DataFrame:
-    _, out = cl.classify(supplier_weights(spark, d), LAST, ClassificationConfig(k=4, n_init=2))
+    _, out = cl.classify(supplier_weights(spark, d), LAST, ClassificationConfig())
     return out.select("fund_code", "class_id", "class_name", "family", "confidence", "class_stability", "style_drift", "drift_flag", "participation_class", "risk_band", "currency_band", "lookthrough_band")
 
 
 @query()
 def silhouette_by_k(spark: SparkSession, d: str) -> DataFrame:
     v = cl.wide(al.mean_vectors(_rows(spark, d), ["fund_code"], CLASSES), FEATURE_LIST, ["fund_code"]).cache()
-    return spark.createDataFrame([(k, cl.fit(v, FEATURE_LIST, ClassificationConfig(k=k, n_init=1)).silhouette) for k in (4, 5, 6)], "k int, silhouette double")
+    kept = cl.classifiable(v)
+    return spark.createDataFrame([(k, score) for k, score, _ in cl.candidates(kept, kept.count(), ClassificationConfig())], "k int, silhouette double")
 
 
 # --- stress --------------------------------------------------------------------------------------
