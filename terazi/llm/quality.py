@@ -1,26 +1,28 @@
 """Per-document text quality statistics (problem 10).
 
-One Arrow pass computes the statistics of whole texts. Prose of each language has a robust
-mean and covariance over all statistics: they start from documents that read as running
-sentences and are re-estimated twice from those of them within the 97.5 % ellipsoid, so
-that outliers lose their influence. The squared Mahalanobis distance of each document is
-the sum of the statistics' contributions, which are reported.
-
-A document is a case if it lies outside the 99.9 % ellipsoid of its language's prose and
-the greater part of its text (by characters) consists of list items, rows of cells or
-junk; its kind is the one with the largest share.
+One Arrow pass computes fourteen statistics of whole texts; line patterns (items, rows of
+cells) are two of them, as shares of the text. Each language's prose has a robust mean and
+covariance over all statistics: concentration steps from the coordinatewise median and
+median deviation, over the half of the documents nearest to it, then reweighting with the
+97.5 % ellipsoid. The squared Mahalanobis distance is the sum of the statistics'
+contributions, which are reported. A statistic of n tokens has a sampling variance that
+falls with n, so distances of short texts are shrunk by n / (n + ``SHORT``).
+
+A document is a case if its distance exceeds ``LIMIT``. Its kind is read off the
+contributions: list or table if the share of items or of cells is itself beyond the limit
+of one statistic, else junk.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terazi.session import cut, spread
@@ -33,12 +35,22 @@ COMMON = {
 #: The same with and without accents.
 FOLDED = {k: {*v.split(), *v.translate(str.maketrans("ıİşğçöüâî", "iisgcouai")).split()} for k, v in COMMON.items()}
 
-#: The statistics of the distance, in order.
-STATISTICS = ("words_log", "word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "line_words_log", "list_lines", "cell_lines", "distinct_words", "compression", "code_words", "longest_token_log", "voiceless_words")
-SHARES = ("list_share", "table_share", "junk_share")
+#: The statistics of the distance, in order, with the least standard deviation that each is given: below it, differences say
+#: nothing about quality (a share of item lines of a quarter, a tenth more of ended lines).
+FLOORS = {
+    "words_log": 0.3, "word_length": 0.25, "symbol_ratio": 0.01, "digit_ratio": 0.02, "end_punctuation": 0.3, "common_words": 0.03, "line_words_log": 0.6, "list_lines": 0.12, "cell_lines": 0.12, "distinct_words": 0.08,
+    "compression": 0.05, "code_words": 0.02, "longest_token_log": 0.15, "voiceless_words": 0.02,
+}
+STATISTICS = tuple(FLOORS)
+#: Squared distance beyond which a text isn't prose; beyond which one statistic's contribution marks the kind.
+LIMIT, LIMIT_OF_ONE = 56.0, 6.6
+#: Tokens at which the distance of a short text counts half.
+SHORT = 10
+#: Floors from zero at which the counts of the robust start end.
+REACH = 200
 #: A document is a case of p10.
 CASES = "kind is not null"
-#: Running documents that a language needs for a mean of its own; below, all languages together serve.
+#: Documents that a language needs for a mean of its own; below, all languages together serve.
 LEAST = 50
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -53,7 +65,9 @@ RULE = re.compile(r"^[\s+\-=|_:│┼├┤┬┴─═╔╗╚╝╠╣╬*~]+
 CELL_VALUE = re.compile(r"^[-+]?[\d.,%/:-]*\d[\d.,%/:-]*$|^-$|^n/a$|^$", re.I)
 CODE = re.compile(r"^(?=.*\d)(?=.*[A-Za-z])[0-9A-Za-z_\-=+/:.]{6,}$|^0x[0-9a-fA-F]+$|^[0-9A-Fa-f]{12,}$|^\d{8,}$")
 PAIR = re.compile(r"^[^\W\d]\w*[=:]\S*$")
-URL = re.compile(r"(?:https?://|www\.)\S+")
+TAG = re.compile(r"</?t[rdh][^>]*>")
+GAPS = re.compile(r" {2,}")
+GAP = re.compile(r" {2,}|\t")
 
 
 #: Classes of characters: 1 letter, 2 digit, 3 other visible, 0 blank; beyond this table by category.
@@ -69,160 +83,133 @@ def classes(text: str) -> np.ndarray:
     return CLASSES[points]
 
 
-def cells_of(line: str, words: list[str]) -> tuple[int, bool]:
-    """Cells of a row (1 if the line isn't one), and whether signs part them."""
-    best = 1
-    for sign in ("|", "│", "\t", ";", "</td>", "</th>"):
-        if sign in line:
-            n = line.count(sign)
-            if n >= 2 and len(words) <= (3 if sign == ";" else 8) * (n + 1):  # cells, not clauses
-                best = max(best, n + (sign in "\t;"))
-    if best >= 3:
-        return best, True
-    if "  " in line:
-        parts = re.split(r" {2,}", line.strip())
-        values = sum(any(c.isdigit() for c in x) or x in ("-", "n/a") for x in parts)
-        if len(parts) >= 3 and (values >= 0.4 * len(parts) or "    " in line.strip()):  # else words set apart
-            return len(parts), False
-    if len(words) >= 2 and "=" in line and sum(bool(PAIR.match(w)) for w in words) >= max(2, 0.6 * len(words)):
-        return max(3, len(words)), True
+def is_value(field: str) -> bool:
+    """A number, date, code with digits, dash or nothing, as cells hold."""
+    x = field.strip()
+    return not x or CELL_VALUE.match(x) is not None or (any(c.isdigit() for c in x) and len(x.split()) <= 2 and sum(c.isalnum() for c in x) >= 0.6 * len(x))
+
+
+def cells_of(line: str, words: list[str]) -> int:
+    """Fields of a row of cells, 1 if the line is none: parted by signs or gaps, and values for two fifths or more."""
+    for sign in ("</td>", "</th>", "|", "│", "\t", ";"):
+        if line.count(sign) >= 2:
+            fields = [TAG.sub("", f).strip() for f in line.strip(" |│").split(sign)]
+            filled = [f for f in fields if f]
+            size = sum(map(len, filled))
+            read = sum(c.isalnum() or c.isspace() for f in filled for c in f) >= 0.65 * size
+            if read and 0 < size <= 24 * len(fields) and sum(map(is_value, fields)) >= 0.4 * len(fields):
+                return len(fields)
+    if "  " in line.strip():
+        fields = GAP.split(line.strip())
+        if len(fields) >= 3 and sum(map(is_value, fields)) >= (0.4 if max(map(len, GAPS.findall(line))) > 2 else 0.6) * len(fields):
+            return len(fields)
+    if len(words) >= 2 and "=" in line and sum(PAIR.match(w) is not None for w in words) >= max(2, 0.6 * len(words)):
+        return max(3, len(words))
     if line.count(",") >= 2:
-        fields = [f.strip() for f in line.strip().split(",")]
-        if sum(bool(CELL_VALUE.match(f)) for f in fields) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
-            return len(fields), True
-    if len(words) >= 3 and sum(w[0].isdigit() or w[-1].isdigit() for w in words) > 0.5 * len(words) and sum(bool(CELL_VALUE.match(t)) for t in words) > 0.6 * len(words):
-        return len(words), False
-    return 1, False
+        fields = line.strip().split(",")
+        if sum(map(is_value, fields)) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
+            return len(fields)
+    if len(words) >= 3 and sum(CELL_VALUE.match(w) is not None for w in words) > 0.6 * len(words):
+        return len(words)
+    return 1
+
+
+def is_head(line: str) -> bool:
+    """A row of column heads: three or more short fields without a sentence's end."""
+    if STOP.search(line):
+        return False
+    for sign in ("</th>", "|", "│", "\t", ";"):
+        if line.count(sign) >= 2:
+            return len(line) <= 24 * (line.count(sign) + 1)
+    return len(GAP.split(line.strip())) >= 3
 
 
 def is_code(token: str) -> bool:
     return len(token) >= 6 and not token.isalpha() and CODE.match(token.strip(".,;:()[]\"'")) is not None
 
 
-def line_kinds(lines: list[str], sizes: list[tuple[int, int, int]]) -> list[str]:
-    """Kind of each non-blank line (``sizes``: its letters, digits and other characters): list, table, junk or prose."""
+def line_shares(lines: list[str]) -> tuple[float, float]:
+    """Shares of the text, by characters, in lines that are items and in lines that are rows of cells."""
     tokens = [x.split() for x in lines]
     counts = list(map(len, tokens))
-    plain: list[int] = []
-    kinds = []
-    for i, line in enumerate(lines):
-        letters, digits, other = sizes[i]
-        solid = letters + digits + other
-        words = tokens[i]
-        cells, signs = cells_of(line, words)
-        if letters + digits == 0 and RULE.match(line):
+    kinds: list[str] = []
+    for line, words in zip(lines, tokens, strict=True):
+        if RULE.match(line):
             kinds.append("rule")
-        elif not signs and sum(map(is_code, words)) >= max(2, 0.4 * len(words)):
-            kinds.append("junk")
-        elif cells >= 3 and not (SENTENCE_END.search(line) and counts[i] > 2 * cells and cells < 5):
-            kinds.append("table")
-        elif letters < 0.4 * solid and not BULLET.match(line):
-            kinds.append("junk" if digits < 0.5 * solid else "table")
-        elif (BULLET.match(line) and not (counts[i] > 4 and STOP.search(line)) and not (counts[i] > 7 and line.lstrip()[0] == "—")) or (("..." in line or ". . ." in line or "___" in line or "…" in line) and LEADER.match(line)):
-            kinds.append("list")
+        elif cells_of(line, words) >= 3:
+            kinds.append("cells")
+        elif BULLET.match(line) and not (len(words) > 4 and STOP.search(line)) and not (len(words) > 7 and line.lstrip()[0] == "—"):
+            kinds.append("item")
+        elif ("..." in line or ". . ." in line or "___" in line or "…" in line) and LEADER.match(line):
+            kinds.append("item")
         else:
-            kinds.append("prose")
-            plain.append(i)
-    # plain lines: items of a list without marks are short and uneven, without sentence ends; wrapped
-    # sentences fill their lines evenly
+            kinds.append("plain")
+    plain = [i for i, k in enumerate(kinds) if k == "plain"]
+    # items without marks: short, uneven, not ended, each another one; wrapped sentences fill their lines
     if len(plain) >= 3:
-        n = np.array([counts[i] for i in plain])
-        size = np.array([len(lines[i].strip()) for i in plain])
-        ended = np.array([bool(STOP.search(lines[i])) for i in plain])
-        inner = n[:-1]
-        even = (np.abs(inner - np.median(inner)) <= 1).mean() >= 0.7 and np.median(inner) >= 5
-        filled = np.median(size) >= 0.75 * size.max() and np.median(n) >= 5
+        n, size = np.array([counts[i] for i in plain]), np.array([len(lines[i].strip()) for i in plain])
+        ended = np.array([STOP.search(lines[i]) is not None for i in plain])
+        even = (np.abs(n[:-1] - np.median(n[:-1])) <= 1).mean() >= 0.7 and np.median(n[:-1]) >= 5
+        filled = np.median(size) >= 0.75 * size.max() and np.median(n) >= 5 and size.max() > 50
         short = (n <= 7) & ~ended
-        if short.mean() >= 0.6 and not even and not (filled and size.max() > 50) and np.median(n[short]) <= 5 and ended.mean() < 0.25:
+        other = len({lines[i].strip() for i in plain}) >= 0.6 * len(plain)
+        if other and short.mean() >= 0.6 and not even and not filled and np.median(n[short]) <= 5 and ended.mean() < 0.25:
             for i, s in zip(plain, short, strict=True):
                 if s:
-                    kinds[i] = "list"
-    # a heading with a colon above a list belongs to it
-    for i in range(len(lines) - 1):
-        if kinds[i] == "prose" and kinds[i + 1] in ("list", "table") and counts[i] <= 5 and not STOP.search(lines[i]):
+                    kinds[i] = "item"
+    # heads and rules belong to the cells beside them, a heading to the items below
+    for i, k in enumerate(kinds):
+        near = kinds[max(0, i - 1) : i + 2]
+        if "cells" in near and (k == "rule" or (k == "plain" and is_head(lines[i]))):
+            kinds[i] = "cells"
+        elif k == "plain" and i + 1 < len(kinds) and kinds[i + 1] in ("item", "cells") and counts[i] <= 5 and not STOP.search(lines[i]):
             kinds[i] = kinds[i + 1]
-    tables = "table" in kinds
-    return [("table" if tables else "junk") if k == "rule" else k for k in kinds]
+    weight = {"item": 0, "cells": 0, "rule": 0, "plain": 0}
+    for k, x in zip(kinds, lines, strict=True):
+        weight[k] += len(x.strip())
+    solid = max(1, sum(weight.values()))
+    return weight["item"] / solid, weight["cells"] / solid
 
 
 def statistics(text: str | None, lang: str | None) -> tuple:
-    """Language and statistics of one text (empty texts: zeros)."""
+    """Language, words, tokens and statistics of one text (blank texts: zeros)."""
     text = text or ""
     said = (lang or "").strip().lower()[:2]
-    if not text or text.isspace() or not text.split():
-        return (said if said in COMMON else "other", 0, *([0.0] * len(STATISTICS)), 0.0, 0.0, 0.0)
-    kind_of = classes(text)
-    totals = np.bincount(kind_of, minlength=4)
-    sums = np.zeros((4, len(kind_of) + 1), dtype=np.int64)
-    for k in (LETTER, DIGIT, OTHER):
-        np.cumsum(kind_of == k, out=sums[k, 1:])
-    lines, sizes = [], []
-    for m in LINE.finditer(text):
-        a, b = m.span()
-        size = tuple((sums[1:, b] - sums[1:, a]).tolist())
-        if sum(size):
-            lines.append(m.group())
-            sizes.append(size)
     tokens = text.split()
-    if not lines:
-        return (said if said in COMMON else "other", 0, *([0.0] * len(STATISTICS)), 0.0, 0.0, 0.0)
+    lines = [x for x in LINE.findall(text) if not x.isspace()]
+    if not tokens or not lines:
+        return (said if said in COMMON else "other", 0, 0, *([0.0] * len(STATISTICS)))
+    totals = np.bincount(classes(text), minlength=4)
     words = WORD.findall(text)
     folded = " ".join(words).replace("İ", "i").lower().split(" ")
     hits = {k: sum(map(v.__contains__, folded)) for k, v in FOLDED.items()}
     hits["tr"] += len(TURKISH.findall(text)) // 4
     top = max(hits, key=lambda k: (hits[k], k == said))
     language = top if hits[top] >= 2 else said if said in COMMON else "other"
-    alnum, symbols, digits = int(totals[LETTER] + totals[DIGIT]), int(totals[OTHER]), int(totals[DIGIT])
-    kinds = line_kinds(lines, sizes)
-    weight = {"list": 0, "table": 0, "junk": 0, "prose": 0}
-    for k, x in zip(kinds, lines, strict=True):
-        weight[k] += len(x.strip())
-    solid = sum(weight.values())
-    shares = {k: weight[k] / solid for k in ("list", "table", "junk")}
-    distinct = len({t.lower() for t in tokens}) / len(tokens)
+    symbols, digits, visible = int(totals[OTHER]), int(totals[DIGIT]), max(1, int(totals[1:].sum()))
     raw = text.encode("utf-8", "replace")
-    packed = len(zlib.compress(raw, 1)) / len(raw)
-    longest = max(map(len, tokens))
-    same_lines = len({x.strip() for x in lines}) / len(lines)
-    code = sum(map(is_code, tokens)) / len(tokens)
-    visible = max(1, alnum + symbols)
     mute = [w for w in words if len(w) > 2]
-    voiceless = sum(VOWEL.search(w) is None for w in mute) / max(1, len(mute))
-    no_ends = not any(STOP.search(x) for x in lines)
-    # what nobody can read as a whole: hardly any letters, one token without end, words without vowels,
-    # the same over and over, the links around a page
-    noise = alnum < 0.35 * visible
-    giant = max(tokens, key=len)
-    endless = longest > 40 and longest > 0.5 * solid and not URL.match(giant) and (longest > 200 or longest > 0.8 * solid or len(set(giant)) <= 6) and "<td" not in text
-    gibberish = len(mute) >= 4 and voiceless > 0.5 and digits < 0.1 * visible and shares["table"] < 0.5
-    repeated = len(tokens) >= 12 and (distinct < 0.12 or (packed < 0.14 and shares["table"] < 0.5))
-    few_digits = digits < 0.05 * visible
-    stacked = len(lines) > 3 and distinct < 0.45 and len(tokens) / len(lines) <= 2.2 and same_lines < 0.6
-    in_row = len(lines) <= 3 and distinct < 0.6
-    furniture = len(tokens) >= 8 and few_digits and no_ends and (stacked or in_row)
-    if noise or endless or gibberish or repeated or furniture:
-        shares = {"list": 0.0, "table": 0.0, "junk": 1.0}
-    n = len(lines)
+    items, cells = line_shares(lines)
     values = (
         np.log1p(len(words)),
         sum(map(len, words)) / max(1, len(words)),
         symbols / visible,
         digits / visible,
-        sum(bool(SENTENCE_END.search(x)) for x in lines) / n,
+        sum(SENTENCE_END.search(x) is not None for x in lines) / len(lines),
         hits.get(language, max(hits.values())) / max(1, len(words)),
-        np.log1p(len(tokens) / n),
-        kinds.count("list") / n,
-        kinds.count("table") / n,
-        distinct,
-        packed,
-        code,
-        np.log1p(longest),
-        voiceless,
+        np.log1p(len(tokens) / len(lines)),
+        items,
+        cells,
+        len({t.lower() for t in tokens}) / len(tokens),
+        len(zlib.compress(raw, 1)) / len(raw),
+        sum(map(is_code, tokens)) / len(tokens),
+        np.log1p(max(map(len, tokens))),
+        sum(VOWEL.search(w) is None for w in mute) / max(1, len(mute)),
     )
-    return (language, len(words), *map(float, values), shares["list"], shares["table"], shares["junk"])
+    return (language, len(words), len(tokens), *map(float, values))
 
 
-MEASURED = "doc_id bigint, language string, words int, " + ", ".join(f"{x} double" for x in (*STATISTICS, *SHARES))
+MEASURED = "doc_id bigint, language string, words int, tokens int, " + ", ".join(f"{x} double" for x in STATISTICS)
 
 
 def measure(documents: DataFrame) -> DataFrame:
@@ -245,60 +232,132 @@ def chi_square(p: int, z: float) -> float:
     return p * (1 - 2 / (9 * p) + z * (2 / (9 * p)) ** 0.5) ** 3
 
 
-def moments(rows: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
-    """Count, mean and covariance of the statistics of each language and of all ("*"); one row per language reaches the driver."""
+#: Count, mean and covariance of each language ("*": all together).
+Model = dict[str, tuple[int, np.ndarray, np.ndarray]]
+
+
+def contributions(pdf: pd.DataFrame, model: Model) -> np.ndarray:
+    """Each statistic's part of the squared distance, by the document's language; shrunk for short texts."""
+    x = pdf[list(STATISTICS)].to_numpy(dtype=float)
+    out = np.zeros_like(x)
+    named = pdf["language"].to_numpy()
+    floor = np.diag(np.square(list(FLOORS.values())))
+    for k in set(named):
+        here = np.flatnonzero(named == k)
+        _, mean, cov = model[k] if k in model and model[k][0] >= LEAST else model["*"]
+        d = x[here] - mean
+        out[here] = d * (d @ np.linalg.inv(cov + floor))
+    n = pdf["tokens"].to_numpy(dtype=float)
+    return out * (n / (n + SHORT))[:, None]
+
+
+def spreads(rows: DataFrame) -> Model:
+    """A robust start: medians, and squared median deviations on the diagonal.
+
+    One pass counts each statistic in bins of a fifth of its floor, within ``REACH`` floors of zero, so that at most
+    10 * REACH counts per language and statistic reach the driver, whatever the corpus.
+    """
+    p, width = len(STATISTICS), np.array(list(FLOORS.values())) / 5
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bins = np.rint(np.clip(pdf[list(STATISTICS)].to_numpy(dtype=float) / width, -5 * REACH, 5 * REACH)).astype(int)
+            for k in set(pdf["language"]):
+                here = bins[(pdf["language"] == k).to_numpy()]
+                for i in range(p):
+                    at, n = np.unique(here[:, i], return_counts=True)
+                    yield pd.DataFrame({"language": k, "i": i, "bin": at, "n": n})
+
+    counts = rows.mapInPandas(run, "language string, i int, bin int, n long").groupBy("language", "i", "bin").agg(F.sum("n").alias("n")).toPandas()
+    if not len(counts):
+        return {"*": (0, np.zeros(p), np.zeros((p, p)))}
+
+    def middle(x: np.ndarray, n: np.ndarray) -> float:
+        order = np.argsort(x)
+        return float(x[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)])
+
+    out: Model = {}
+    for k, part in [*counts.groupby("language"), ("*", counts)]:
+        centre, wide, size = np.zeros(p), np.zeros(p), 0
+        for i, x in part.groupby("i"):
+            at, n = x["bin"].to_numpy(), x["n"].to_numpy()
+            m = middle(at, n)
+            centre[i], wide[i], size = m * width[i], middle(np.abs(at - m), n) * width[i], int(n.sum())
+        out[k] = (size, centre, np.diag((1.4826 * wide) ** 2))
+    return out
+
+
+def moments(rows: DataFrame, model: Model, limits: dict[str, float]) -> Model:
+    """Means and covariances of the documents within their language's limit; each task sends 120 sums per language."""
     p = len(STATISTICS)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(STATISTICS)), *(F.sum(F.col(STATISTICS[i]) * F.col(STATISTICS[j])).alias(f"q{i}_{j}") for i, j in pairs)]
-    got = {r["language"]: r for r in rows.groupBy("language").agg(*sums).collect()}
-    raw = {k: (r["n"], np.array([r[f"s{i}"] for i in range(p)]), np.array([r[f"q{i}_{j}"] for i, j in pairs])) for k, r in got.items()}
-    if raw:
-        raw["*"] = tuple(reduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), raw.values()))
-    out = {}
-    for k, (n, s, q) in raw.items():
-        mean, cov = s / n, np.zeros((p, p))
-        for (i, j), v in zip(pairs, q, strict=True):
-            cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-        out[k] = (n, mean, cov)
+    upper = np.triu_indices(p)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            d, x, named = contributions(pdf, model).sum(axis=1), pdf[list(STATISTICS)].to_numpy(dtype=float), pdf["language"].to_numpy()
+            for k in set(named):
+                y = x[(named == k) & (d <= limits.get(k, limits["*"]))]
+                sums[k] = sums.get(k, 0) + np.r_[len(y), y.sum(axis=0), (y.T @ y)[upper]]
+        for k, v in sums.items():
+            yield pd.DataFrame({"language": k, "i": np.arange(len(v)), "v": v})
+
+    total: dict[str, np.ndarray] = {}
+    for r in rows.mapInPandas(run, "language string, i int, v double").groupBy("language", "i").agg(F.sum("v").alias("v")).collect():
+        total.setdefault(r["language"], np.zeros(1 + p + len(upper[0])))[r["i"]] = r["v"]
+    out: Model = {}
+    for k, v in (total | {"*": sum(total.values())}).items() if total else ():
+        if v[0] > 0:
+            mean, square = v[1 : p + 1] / v[0], np.zeros((p, p))
+            square[upper] = v[p + 1 :] / v[0]
+            out[k] = (int(v[0]), mean, square + np.triu(square, 1).T - np.outer(mean, mean))
     return out
 
 
-def contributions(model: dict) -> Column:
-    """Array of each statistic's part of the squared distance, by the document's language."""
+def halves(rows: DataFrame, model: Model) -> dict[str, float]:
+    """Median distance of each language, from counts of distances in bins of two percent."""
 
-    def parts(mean: np.ndarray, cov: np.ndarray) -> Column:
-        inverse = np.linalg.pinv(cov + np.diag(np.maximum(1e-4, 0.01 * np.diag(cov))))
-        d = [F.col(c) - float(m) for c, m in zip(STATISTICS, mean, strict=True)]
-        return F.array(*(d[i] * reduce(lambda a, b: a + b, (d[j] * float(inverse[i, j]) for j in range(len(d)))) for i in range(len(d))))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = contributions(pdf, model).sum(axis=1)
+            at = pd.DataFrame({"language": pdf["language"], "bin": np.floor(np.log(np.maximum(d, 1e-9)) / 0.02).astype(int)})
+            yield at.value_counts().rename("n").reset_index()
 
-    own = {k: parts(mean, cov) for k, (n, mean, cov) in model.items() if k != "*" and n >= LEAST}
-    other = parts(*model["*"][1:]) if "*" in model else F.array(*(F.lit(0.0) for _ in STATISTICS))
-    if not own:
-        return other
-    chosen = reduce(lambda acc, kv: acc.when(F.col("language") == kv[0], kv[1]) if acc is not None else F.when(F.col("language") == kv[0], kv[1]), own.items(), None)
-    return chosen.otherwise(other)
+    counts = rows.mapInPandas(run, "language string, bin int, n long").groupBy("language", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("language")
+    upto = counts.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    got = {r["language"]: math.exp(0.02 * (r["bin"] + 1)) for r in upto.filter("2 * upto >= all").groupBy("language").agg(F.min("bin").alias("bin")).collect()}
+    return got | {"*": max(got.values(), default=0.0)}
 
 
-def document_quality(documents: DataFrame, rounds: int = 2) -> DataFrame:
+def prose_model(rows: DataFrame, rounds: int = 3) -> Model:
+    """Robust mean and covariance of each language: one concentration on the nearer half, then ``rounds`` of reweighting."""
+    model = spreads(rows)
+    model |= moments(rows, model, halves(rows, model))
+    for _ in range(rounds):
+        model |= moments(rows, model, {"*": chi_square(len(STATISTICS), 1.959964)})
+    return model
+
+
+def document_quality(documents: DataFrame, limit: float = LIMIT) -> DataFrame:
     """Statistics, distance from prose and kind of every document.
 
     Columns: doc_id, language (found in the text; the given one only where it says nothing), words, the
-    statistics, list_share, table_share, junk_share (parts of the text, by characters), distance (squared
-    Mahalanobis), contributions (map from statistic to its part of the distance), kind (list, table, junk,
-    or null for prose and for null, empty and blank texts). Repeated documents are measured alike and each
-    comes out. An empty table gives no rows.
+    statistics, distance (squared Mahalanobis), contributions (map from statistic to its part of the
+    distance), kind (list, table, junk, or null for prose and for null, empty and blank texts). A language
+    with fewer than ``LEAST`` documents is held against all languages together. Repeated documents are
+    measured alike and each comes out. An empty table gives no rows.
     """
-    p = len(STATISTICS)
     rows = cut(measure(documents))
-    running = rows.filter(F.col("words") >= 5).filter(F.col("list_share") + F.col("table_share") + F.col("junk_share") < 0.2)
-    model = moments(running)
-    squared = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x)
-    for _ in range(rounds):
-        near = running.withColumn("parts", contributions(model)).filter(squared <= chi_square(p, 1.959964))
-        model = moments(near) or model
-    out = rows.withColumn("parts", contributions(model)).withColumn("distance", squared)
-    away = F.col("list_share") + F.col("table_share") + F.col("junk_share")
-    top = F.greatest(*SHARES)
-    kind = F.when(F.col("junk_share") == top, "junk").when(F.col("table_share") == top, "table").otherwise("list")
-    case = (away > 0.5) & (F.col("distance") > chi_square(p, 3.090232))
-    return out.select("doc_id", "language", "words", *STATISTICS, *SHARES, "distance", F.map_from_arrays(F.array(*(F.lit(c) for c in STATISTICS)), "parts").alias("contributions"), F.when(case, kind).alias("kind"))
+    model = prose_model(rows.filter("tokens > 0").select("language", "tokens", *STATISTICS))
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            c = contributions(pdf, model)
+            yield pdf.assign(distance=c.sum(axis=1), parts=list(c), doc_id=pdf["doc_id"].astype("Int64"))
+
+    out = rows.mapInPandas(held, f"{MEASURED}, distance double, parts array<double>")
+    item, cell = (F.element_at("parts", STATISTICS.index(c) + 1) for c in ("list_lines", "cell_lines"))
+    kind = F.when((item > cell) & (item > LIMIT_OF_ONE), "list").when(cell > LIMIT_OF_ONE, "table").otherwise("junk")
+    case = (F.col("tokens") > 0) & (F.col("distance") > limit)
+    return out.select("doc_id", "language", "words", *STATISTICS, "distance", F.map_from_arrays(F.array(*(F.lit(c) for c in STATISTICS)), "parts").alias("contributions"), F.when(case, kind).alias("kind"))
