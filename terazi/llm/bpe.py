@@ -1,14 +1,20 @@
 """Encoding of a corpus by a public byte-level BPE vocabulary (problem 8).
 
-The encoder is a streaming transducer with bounded lookahead. It reads a piece byte by
-byte and keeps, for each prefix that may still end a token, the last token of that
-prefix's encoding and where that token began. A vocabulary's encoding has the prefix
-property: if the final encoding has a boundary at p, its tokens up to p encode the prefix.
-No token is longer than L bytes, so of the last L prefixes one lies on the final
-encoding; what the chains of all of them share can't change any more. Such tokens are
-emitted and forgotten, so memory stays constant however long the piece. The last token
-of a prefix is the longest vocabulary entry at its end that merges to itself and that
-stands the merge list beside the token before it (``pair_holds``).
+The encoder is a streaming transducer with bounded lookahead, through which every piece of
+every text goes. It reads a piece byte by byte and keeps, for each prefix that may still end
+a token, the last token of that prefix's encoding and where that token began. A vocabulary's
+encoding has the prefix property: if the final encoding has a boundary at p, its tokens up
+to p encode the prefix. The last token of a prefix is the longest vocabulary entry at its
+end that merges to itself and that stands the merge list beside the token before it
+(``pair_holds``).
+
+Lookahead: what follows a prefix changes its encoding only through a chain of merges, each
+of which takes away the left part of the one before or keeps it free, and each of a larger
+rank. ``sufficient_lookahead`` finds the chain that reaches furthest, by dynamic programming
+over the merge list: 864 bytes for byte_bpe_50k. So, of a prefix, only that many bytes and the
+longest token can still change: the encodings of the last prefixes agree before, and these
+tokens are emitted and forgotten. Memory is the window plus ``STRIDE`` bytes, however long
+the piece.
 
 Decoding is an incremental state machine over bytes.
 """
@@ -32,9 +38,9 @@ from terazi.session import spread
 TOKENIZERS = "/opt/tokenizers"
 #: The pattern that splits text into pieces before the merges (a fixed value of the vocabulary).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces whose ids a worker remembers, and the bytes of the longest of them.
-CACHED, CACHED_BYTES = 400_000, 48
-#: Bytes between two searches for stable tokens.
+#: Pieces whose encoding a worker remembers, and the characters of the longest of them.
+CACHED, CACHED_CHARS = 400_000, 64
+#: Bytes between two searches for stable tokens, once the window is full.
 STRIDE = 1024
 
 
@@ -43,26 +49,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
 
 
+def sufficient_lookahead(ranks: dict[bytes, int]) -> int:
+    """Bytes before the end of a prefix that what follows may still encode otherwise.
+
+    A merge of u and v at the end keeps u from a later merge with its left neighbour, or lets it take part in one;
+    that moves the difference left by u, where the next merge of a larger rank, whose right part begins with u, goes
+    on. A merge counts from when both parts can exist. The furthest chain is found from the largest rank down.
+    """
+    rules = []
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            u, v = token[:i], token[i:]
+            if u in ranks and v in ranks:
+                rules.append((max(rank, ranks[u], ranks[v]), u, v))
+    rules.sort(key=lambda r: -r[0])
+    reach: dict[bytes, int] = {}  # beginning of a right part -> furthest reach of the rules of larger rank
+    top = at = 0
+    while at < len(rules):
+        same = at
+        new = []
+        while same < len(rules) and rules[same][0] == rules[at][0]:
+            _, u, v = rules[same]
+            new.append((v, len(u) + reach.get(u, 0)))
+            same += 1
+        for v, far in new:
+            top = max(top, far)
+            for i in range(1, len(v) + 1):
+                if reach.get(v[:i], 0) < far:
+                    reach[v[:i]] = far
+        at = same
+    return top
+
+
 class Transducer:
     """Encoder and decoder of a vocabulary of ranked byte strings."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PIECES) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PIECES, lookahead: int | None = None) -> None:
         self.ranks = ranks
         self.tokens = {r: b for b, r in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.window = (sufficient_lookahead(ranks) if lookahead is None else lookahead) + 2 * self.longest
+        self.widest = 0  # bytes held at most so far
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
         self.held: dict[tuple[int, int], bool] = {}
         self.proper: dict[int, bool] = {}
-        self.automaton: ahocorasick.Automaton | None = None
-
-    @property
-    def lookahead(self) -> int:
-        """Sufficient lookahead of the merge list in bytes, for any text: a merge changes what lies at most a token away, one merge after the other."""
-        return self.longest * len(self.ranks)
+        self.automaton = ahocorasick.Automaton()
+        for b, r in ranks.items():
+            self.automaton.add_word(b.decode("latin-1"), (len(b), r))
+        self.automaton.make_automaton()
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of a short piece by the merge list itself: the lowest rank first, the leftmost of equals."""
+        """Ids of one or two tokens' bytes by the merge list itself: the lowest rank first, the leftmost of equals."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         ranks = self.ranks
         while len(parts) > 1:
@@ -73,15 +111,7 @@ class Transducer:
                     best, at = r, i
             if best is None:
                 break
-            pair, merged, i = (parts[at], parts[at + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
     def pair_holds(self, a: int, b: int) -> bool:
@@ -100,52 +130,40 @@ class Transducer:
             got = self.proper[token] = self.merge(self.tokens[token]) == [token]
         return got
 
-    def _ends(self, piece: Iterable[int]) -> Iterator[list[tuple[int, int]]]:
-        """For each byte: length and id of the entries that end there, longest first; one pass, constant memory."""
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for b, r in self.ranks.items():
-                self.automaton.add_word(b.decode("latin-1"), (len(b), r))
-            self.automaton.make_automaton()
-        at, here = 0, []
-        for end, hit in self.automaton.iter("".join(map(chr, piece))):
-            while at < end:
-                yield sorted(here, reverse=True)
-                at, here = at + 1, []
-            here.append(hit)
-        yield sorted(here, reverse=True)
-
     def stream(self, piece: bytes) -> Iterator[int]:
         """Ids of a piece of any length, each as soon as it is stable."""
         base = 0  # bytes before this have been emitted
         last: list[int] = [-1]  # last[i]: last token of the prefix of base + i bytes; -1 at base
         back: list[int] = [0]
-        since = 0
         before_base = -1  # last emitted token
-        for end, hits in enumerate(self._ends(piece), 1):
-            for length, token in hits:
-                start = end - length - base
-                if start < 0 or not self.is_proper(token):
-                    continue
-                left = last[start] if start else before_base
-                if start and left < 0:
+        proper, held = self.proper, self.held
+        full, end = self.window + STRIDE, 0
+        # the automaton gives, at each byte, the entries that end there, longest first; every single byte is one
+        for at, (length, token) in self.automaton.iter(piece.decode("latin-1")):
+            if at < end:
+                continue  # this prefix has its last token
+            start = at + 1 - length - base
+            if start < 0 or (start and back[start] < 0):
+                continue
+            left = last[start] if start else before_base
+            ok = proper.get(token)
+            if not (self.is_proper(token) if ok is None else ok):
+                continue
+            if left >= 0:
+                ok = held.get((left, token))
+                if not (self.pair_holds(left, token) if ok is None else ok):
                     continue
-                if left < 0 or self.pair_holds(left, token):
-                    last.append(token)
-                    back.append(start)
-                    break
-            else:
-                last.append(-1)
-                back.append(-1)
-            since += 1
-            if since >= STRIDE:
-                since = 0
-                at = self._stable(last, back)
-                if at:
-                    yield from self._walk(last, back, at)
-                    before_base = last[at]
-                    base += at
-                    last, back = [-1, *last[at + 1 :]], [0, *(max(-1, x - at) for x in back[at + 1 :])]
+            last.append(token)
+            back.append(start)
+            end = at + 1
+            if len(last) > full:
+                self.widest = max(self.widest, len(last))
+                stable = self._stable(last, back)
+                if stable:
+                    yield from self._walk(last, back, stable)
+                    before_base = last[stable]
+                    base += stable
+                    last, back = [-1, *last[stable + 1 :]], [0, *(max(-1, x - stable) for x in back[stable + 1 :])]
         yield from self._walk(last, back, len(last) - 1)
 
     def _stable(self, last: list[int], back: list[int]) -> int:
@@ -171,23 +189,18 @@ class Transducer:
         if not text:
             return out
         cache = self.cache
-        for m in self.pattern.finditer(text):
-            piece = m.group()
-            ids = cache.get(piece)
+        known = cache.get
+        for piece in self.pattern.findall(text):
+            ids = known(piece)
             if ids is None:
-                raw = piece.encode("utf-8")
-                whole = self.ranks.get(raw)
-                if whole is not None and self.is_proper(whole):
-                    ids = [whole]
-                elif len(raw) <= CACHED_BYTES:
-                    ids = self.merge(raw)
-                else:
-                    out.extend(self.stream(raw))
+                if len(piece) > CACHED_CHARS:
+                    out.extend(self.stream(piece.encode("utf-8")))
                     continue
+                ids = tuple(self.stream(piece.encode("utf-8")))
                 if len(cache) >= CACHED:
                     cache.clear()
                 cache[piece] = ids
-            out.extend(ids)
+            out += ids
         return out
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
@@ -207,14 +220,14 @@ def _transducer(ranks) -> Transducer:
     """One transducer per Python worker and broadcast vocabulary."""
     if ranks.value["key"] not in _LOADED:
         _LOADED.clear()
-        _LOADED[ranks.value["key"]] = Transducer(ranks.value["ranks"])
+        _LOADED[ranks.value["key"]] = Transducer(ranks.value["ranks"], lookahead=ranks.value["lookahead"])
     return _LOADED[ranks.value["key"]]
 
 
 def _broadcast(df: DataFrame, folder: str, vocabulary: str):
     """The vocabulary goes to the tasks from the driver: under 1 MB, whatever the corpus."""
     ranks = read_ranks(f"{folder}/{vocabulary}.tiktoken")
-    return df.sparkSession.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks})
+    return df.sparkSession.sparkContext.broadcast({"key": hash(frozenset(ranks.items())), "ranks": ranks, "lookahead": sufficient_lookahead(ranks)})
 
 
 def encode_column(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from terazi.llm.bpe import PIECES, TOKENIZERS, Transducer, encode_column, read_ranks, round_trip
+from terazi.llm.bpe import PIECES, STRIDE, TOKENIZERS, Transducer, encode_column, read_ranks, round_trip, sufficient_lookahead
 
 FILE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 pytestmark = pytest.mark.skipif(not os.path.exists(FILE), reason="no vocabulary here")
@@ -34,25 +34,34 @@ def test_ids_equal_the_library(pair):
         assert "".join(mine.decode(mine.encode(t))) == t
 
 
-def test_stream_equals_the_merges_with_small_memory(pair):
-    mine, _ = pair
+def test_stream_equals_the_merges_within_the_window(pair):
+    mine, library = pair
     rng = random.Random(8)
     for _ in range(40):
         piece = bytes(rng.choice(b"abcdet =-") for _ in range(rng.choice([1, 10, 300])))
         assert list(mine.stream(piece)) == mine.merge(piece)
-    held = []
-    old = Transducer._stable
-
-    def spy(self, last, back):
-        held.append(len(last))
-        return old(self, last, back)
-
-    Transducer._stable = spy
-    try:
-        list(mine.stream(b"the cat sat on " * 4000))
-    finally:
-        Transducer._stable = old
-    assert len(held) > 20 and max(held) < 4096
+    mine.widest = 0
+    for word in ("the cat sat on ", "ÃÂ", "=", "- ", " _", "\u2588"):
+        piece = (word * 9000).encode()
+        assert list(mine.stream(piece)) == library._encode_single_piece(piece)
+    assert 0 < mine.widest <= mine.window + STRIDE + 1
+
+
+def test_every_piece_goes_through_the_transducer(pair, monkeypatch):
+    """The only other source of ids is the memory of earlier pieces: without the stream nothing is encoded."""
+    ranks = pair[0].ranks
+    fresh = Transducer(ranks, lookahead=864)
+    monkeypatch.setattr(Transducer, "stream", lambda self, piece: iter(()))
+    assert fresh.encode("the fund kept its share") == []
+
+
+def test_lookahead():
+    """Of a list that builds one token from right to left, the whole token may still change; of single bytes nothing."""
+    assert sufficient_lookahead({bytes([b]): b for b in range(256)}) == 0
+    ranks = {bytes([b]): b for b in range(256)} | {b"yz": 256, b"xy": 257, b"wx": 258, b"vw": 259}
+    assert sufficient_lookahead(ranks) == 4  # z decides about y, that about x, w and v
+    mine = Transducer(ranks)
+    assert [mine.encode(t) for t in ("vwxy", "vwxyz")] == [[259, 257], [ord("v"), 258, 256]]
 
 
 def test_table(spark):
