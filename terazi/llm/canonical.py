@@ -4,11 +4,13 @@ Each distinct value is repaired (text that was decoded with the wrong charset),
 (case, accents, punctuation) and searched, without its blanks, by a multi-pattern
 automaton over the canonical names, their aliases (name core with every spelling of the
 company form) and the bare cores; the longest non-overlapping mention wins. Values without
-a mention go to token-set similarity: windows of one to three tokens against the core
-tokens, by edit distance with transpositions, and the tokens of the company form.
+a mention go to token-set similarity: the share of a name's token set, by letters, that the
+value's token set holds, where two tokens are alike by 1 - edits / length, within the
+allowed edits (misspelt tokens are never equal).
 
-The canonical list is the operator's dictionary: it is sent to every task, so it must fit
-``MAX_NAMES`` entries; a longer list is refused.
+The canonical list is the operator's dictionary: it is sent to every task in parts of at most
+``MAX_NAMES`` names. A longer list has several parts; each value collects its mentions and similar
+names from all of them, and the longest mentions are chosen over all together.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -25,7 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNMATCHED = "UNMATCHED"
+#: Names that a task holds at once.
 MAX_NAMES = 200_000
+#: Least token-set similarity.
+LEAST_SET = 0.6
 
 # Words of company forms, by kind (P portfolio manager, E pension and life company),
 # folded, in the spellings in use; words that belong to neither; and the letters folding treats alike.
@@ -84,6 +90,25 @@ def allowed(core: str) -> int:
     return 0 if len(core) < 5 else 1 if len(core) < 6 else 2
 
 
+def core_of(name: str) -> tuple[list[str], str]:
+    """Words of a name that aren't generic (all, if there are no others), and the kind of company: P, E or empty."""
+    words = fold(name).split()
+    core = [w for w in words if w not in GENERIC] or words
+    rest = {w for w in words if w not in core}
+    return core, "E" if {"emeklilik", "hayat"} & rest else "P" if {"portfoy", "pys", "portfolio"} & rest else ""
+
+
+def alike(a: str, b: str) -> float:
+    """Similarity of two tokens: 1 less edits per letter, 0 beyond the allowed edits."""
+    d = edits(a, b, allowed(b))
+    return 1 - d / max(len(a), len(b)) if d <= allowed(b) else 0.0
+
+
+#: What a value's words say about one core: where it is mentioned (or -1), how alike the token sets are, the kind that the value names
+#: (null: none), and the canonical names of that core by kind.
+EVIDENCE = "start int, stop int, score double, core string, kind string, names map<string,string>"
+
+
 @dataclass
 class Matcher:
     """Automaton and token sets of a canonical list."""
@@ -94,12 +119,14 @@ class Matcher:
 
     def __post_init__(self) -> None:
         self.forms = sorted(((f.replace(" ", ""), kind) for kind, fs in FORMS.items() for f in fs), key=lambda x: -len(x[0]))
+        self.tokens: dict[str, list[list[str]]] = {}  # core -> its token sets: its words, and all of them written as one
         for name in sorted(set(self.names)):
-            words = fold(name).split()
-            core = [w for w in words if w not in GENERIC] or words
-            rest = [w for w in words if w not in core]
-            kind = "E" if {"emeklilik", "hayat"} & set(rest) else "P" if {"portfoy", "pys", "portfolio"} & set(rest) else ""
-            self.cores["".join(core)].setdefault(kind, name)
+            words, kind = core_of(name)
+            core = "".join(words)
+            if core not in self.tokens:
+                self.tokens[core] = [words] if len(words) == 1 else [words, [core]]
+            self.cores[core].setdefault(kind, name)
+        self.grams: dict[str, set[str]] = defaultdict(set)
         for core, kinds in self.cores.items():
             self._add(core, core, None)
             for kind in ("P", "E"):
@@ -108,11 +135,10 @@ class Matcher:
                         if k == kind:
                             for between in ("", "yatirim"):
                                 self._add(core + between + form, core, kind)
+            for token in {t for ts in self.tokens[core] for t in ts}:
+                for g in _grams(token):
+                    self.grams[g].add(core)
         self.automaton.make_automaton()
-        self.grams = defaultdict(set)
-        for core in self.cores:
-            for g in _grams(core):
-                self.grams[g].add(core)
 
     def _add(self, pattern: str, core: str, kind: str | None) -> None:
         self.automaton.add_word(pattern, (len(pattern), core, kind))
@@ -124,49 +150,53 @@ class Matcher:
             rest = rest[7:]
         return next((kind for form, kind in self.forms if rest.startswith(form)), None)
 
-    def mentions(self, words: list[str]) -> list[tuple[str, str | None]]:
-        """Longest non-overlapping mentions that begin at a word: core and kind of company (None: not said)."""
+    def mentions(self, words: list[str]) -> list[tuple]:
+        """EVIDENCE of each pattern that begins at a word."""
         if not self.cores:
             return []
         text, starts, at = "".join(words), set(), 0
         for w in words:
             starts.add(at)
             at += len(w)
-        hits = sorted(((end - n + 1, -n, core, kind) for end, (n, core, kind) in self.automaton.iter(text)), key=lambda x: (x[1], x[0]))
-        taken: list[tuple[int, int]] = []
         out = []
-        for start, minus, core, kind in hits:
-            stop = start - minus
-            if start in starts and all(stop <= a or start >= b for a, b in taken):
-                taken.append((start, stop))
-                if kind is None:
-                    kind = self.form_after(text, stop)
-                    if kind is None and stop not in starts and stop < len(text):
-                        continue  # the core is the beginning of another word
-                out.append((start, core, kind))
-        return [(core, kind) for _, core, kind in sorted(out)]
-
-    def similar(self, words: list[str]) -> list[tuple[int, str, str | None]]:
-        """Cores within the allowed edits of one to three joined tokens: edits, core, kind; nearest first."""
-        best: dict[tuple[str, str | None], int] = {}
-        text = "".join(words)
-        at = 0
+        for end, (n, core, kind) in self.automaton.iter(text):
+            start, stop = end - n + 1, end + 1
+            if start not in starts:
+                continue
+            if kind is None:
+                kind = self.form_after(text, stop)
+                if kind is None and stop not in starts and stop < len(text):
+                    core = ""  # the core is the beginning of another word
+            out.append((start, stop, 1.0, core, kind, dict(self.cores[core]) if core else {}))
+        return out
+
+    def similar(self, words: list[str]) -> list[tuple]:
+        """EVIDENCE of the names whose token sets the value's token set holds."""
+        text, at = "".join(words), 0
+        held: dict[str, str | None] = {}  # the value's tokens, also two or three as one, with the company form that follows
         for i in range(len(words)):
             for n in (1, 2, 3):
-                if i + n > len(words):
-                    break
                 token = "".join(words[i : i + n])
-                if len(token) > 40:
+                if i + n > len(words) or len(token) > 40:
                     break
-                for cut, kind in self._heads(token, text, at):
-                    near = {c for g in _grams(cut) for c in self.grams.get(g, ())}
-                    for core in near:
-                        d = edits(cut, core, allowed(core))
-                        if d <= allowed(core):
-                            key = (core, kind)
-                            best[key] = min(best.get(key, 9), d)
+                for head, kind in self._heads(token, text, at):
+                    held[head] = held.get(head) or kind
             at += len(words[i])
-        return sorted(((d, core, kind) for (core, kind), d in best.items()), key=lambda x: (x[0], x[2] is None, x[1], x[2] or ""))
+        near = {core for t in held for g in _grams(t) for core in self.grams.get(g, ())}
+        out = []
+        for core in near:
+            best = (0.0, None)
+            for tokens in self.tokens[core]:
+                total = sum(map(len, tokens))
+                score, kinds = 0.0, []
+                for t in tokens:
+                    s, token = max(((alike(h, t), h) for h in held), key=lambda x: (x[0], held[x[1]] is not None, x[1]))
+                    score += s * len(t) / total
+                    kinds.append(held[token] if s else None)
+                best = max(best, (score, next((k for k in reversed(kinds) if k), None)), key=lambda x: (x[0], x[1] is not None))
+            if best[0] >= LEAST_SET:
+                out.append((-1, -1, best[0], core, best[1], dict(self.cores[core])))
+        return out
 
     def _heads(self, token: str, text: str, at: int) -> Iterator[tuple[str, str | None]]:
         yield token, self.form_after(text, at + len(token))
@@ -175,39 +205,49 @@ class Matcher:
                 yield token[: -len(form)], kind
                 break
 
-    def pick(self, core: str, kind: str | None) -> tuple[str | None, bool]:
-        """Name of a core and kind; whether the kind was needed but isn't known."""
-        kinds = self.cores[core]
-        if kind is None:
-            return (next(iter(kinds.values())), False) if len(kinds) == 1 else (None, True)
-        return kinds.get(kind) or kinds.get(""), False
-
-    def resolve(self, value: str) -> tuple[str, str, str]:
-        """Name or UNMATCHED, how it was found, and the core of the name, or that whose kind is open."""
+    def evidence(self, value: str) -> list[tuple]:
         words = fold(value).split()
         if not words:
-            return UNMATCHED, "empty", ""
-        for core, kind in self.mentions(words):
-            name, open_ = self.pick(core, kind)
-            if name:
-                return name, "mention", core
-            if open_:
-                return UNMATCHED, "open", core
-            return UNMATCHED, "other company", ""
-        near = self.similar(words)
-        if near:
-            d, core, kind = near[0]
-            rivals = [(c, k) for e, c, k in near if e == d and c != core]
-            options = [(core, kind), *rivals]
-            fits = [(self.pick(c, k), c) for c, k in options]
-            named = sorted({n for (n, _), _ in fits if n})
-            if len(named) == 1:
-                return named[0], "similar", next(c for (n, _), c in fits if n)
-            if not named:
-                opened = [c for (_, o), c in fits if o]
-                return (UNMATCHED, "open", opened[0]) if len(opened) == 1 else (UNMATCHED, "other company", "")
-            return UNMATCHED, "tie", ""
+            return []
+        return self.mentions(words) or self.similar(words)
+
+    def resolve(self, value: str) -> tuple[str, str, str]:
+        return decide(value, self.evidence(value))
+
+
+def pick(names: dict[str, str], kind: str | None) -> tuple[str | None, bool]:
+    """Name of a core by kind; whether the kind was needed but isn't known."""
+    if kind is None:
+        return (next(iter(names.values())), False) if len(names) == 1 else (None, True)
+    return names.get(kind) or names.get(""), False
+
+
+def decide(value: str, found: list[tuple]) -> tuple[str, str, str]:
+    """Name or UNMATCHED, how it was found, and the core of the name, or that whose kind is open."""
+    if not fold(value):
+        return UNMATCHED, "empty", ""
+    taken: list[tuple[int, int]] = []
+    first: tuple | None = None
+    for x in sorted((x for x in found if x[0] >= 0), key=lambda x: (x[0] - x[1], x[0], x[3], x[4] or "")):
+        if all(x[1] <= a or x[0] >= b for a, b in taken):
+            taken.append((x[0], x[1]))
+            if x[3] and (first is None or x[0] < first[0]):
+                first = x
+    if first is not None:
+        name, open_ = pick(first[5], first[4])
+        return (name, "mention", first[3]) if name else (UNMATCHED, "open", first[3]) if open_ else (UNMATCHED, "other company", "")
+    near = [x for x in found if x[0] < 0]
+    if not near:
         return UNMATCHED, "none", ""
+    top = max(x[2] for x in near)
+    fits = sorted(((x[3], *pick(x[5], x[4])) for x in near if x[2] > top - 1e-9), key=lambda x: x[0])
+    named = sorted({name for _, name, _ in fits if name})
+    if len(named) == 1:
+        return named[0], "similar", next(core for core, name, _ in fits if name)
+    opened = [core for core, _, open_ in fits if open_]
+    if named or len(opened) > 1:
+        return UNMATCHED, "tie", ""
+    return (UNMATCHED, "open", opened[0]) if opened else (UNMATCHED, "other company", "")
 
 
 def _grams(word: str) -> set[str]:
@@ -219,13 +259,7 @@ OUT = "fund string, value string, name string, how string, core string"
 
 
 def map_values(values: DataFrame, names: list[str]) -> DataFrame:
-    """Names of distinct values: key column ``fund``, ``value``; adds name, how and core.
-
-    A value whose company core fits several names, without saying which, takes the name of that core
-    which the other values of the same key give, if that is only one.
-    """
-    if len(names) > MAX_NAMES:
-        raise ValueError(f"{len(names)} names; the automaton is limited to {MAX_NAMES}")
+    """Names of distinct values (columns fund and value) by a list of one part; adds name, how and core."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(names)
@@ -243,20 +277,52 @@ def map_values(values: DataFrame, names: list[str]) -> DataFrame:
     return values.mapInPandas(run, OUT)
 
 
-def map_founders(general: DataFrame, reference: DataFrame) -> DataFrame:
+def map_by_parts(values: DataFrame, parts: list[list[str]]) -> DataFrame:
+    """The same by a list of several parts: evidence from each part, gathered by value, then decided."""
+
+    def against(names: list[str]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(names)
+            for pdf in batches:
+                rows = [(f, v, *x) for f, v in zip(pdf["fund"], pdf["value"], strict=True) for x in matcher.mentions(fold(v).split()) + matcher.similar(fold(v).split())]
+                yield pd.DataFrame(rows, columns=["fund", "value", "start", "stop", "score", "core", "kind", "names"])
+
+        return values.mapInPandas(run, f"fund string, value string, {EVIDENCE}")
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [decide(v, [(x["start"], x["stop"], x["score"], x["core"], x["kind"], dict(x["names"])) for x in e]) for v, e in zip(pdf["value"], pdf["found"], strict=True)]
+            yield pdf[["fund", "value"]].assign(name=[x[0] for x in found], how=[x[1] for x in found], core=[x[2] for x in found])
+
+    each = reduce(DataFrame.unionByName, (against(p) for p in parts))
+    item = F.struct("start", "stop", "score", "core", "kind", "names")
+    none = values.select("fund", "value", F.lit(None).cast(f"struct<{EVIDENCE.replace(' int', ':int').replace(' double', ':double').replace(' string', ':string').replace(' map', ':map')}>").alias("x"))
+    gathered = each.select("fund", "value", item.alias("x")).unionByName(none).groupBy("fund", "value").agg(F.collect_list("x").alias("found"))
+    return gathered.mapInPandas(settle, OUT)
+
+
+def map_founders(general: DataFrame, reference: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
     """The canonical founder of each distinct fund and title: fonkodu, fonunvan (as written), name, how.
 
-    name is UNMATCHED where the founder isn't on the list. Rows without fund or title are ignored; empty
-    and blank titles are UNMATCHED. Repeated rows come out once. Null names of the list are ignored; of
-    names that fold alike the first in order counts. With an empty list all titles are UNMATCHED; an
-    empty table gives no rows.
+    name is UNMATCHED where the founder isn't on the list. A title whose company core fits several names,
+    without saying which, takes the name of that core which the other titles of the same fund give, if that
+    is only one. Rows without fund or title are ignored; empty and blank titles are UNMATCHED. Repeated rows
+    come out once. Null names of the list are ignored; of names that fold alike the first in order counts.
+    With an empty list all titles are UNMATCHED; an empty table gives no rows.
     """
-    # the list is the operator's dictionary, at most MAX_NAMES entries; one more shows that it is too long
-    names = [r[0] for r in reference.select("name").filter("name is not null and trim(name) <> ''").distinct().limit(MAX_NAMES + 1).collect()]
     fund = F.upper(F.btrim(F.col("fonkodu"), F.lit(" \t\r\n\u00a0")))
     pairs = general.select(fund.alias("fund"), F.col("fonunvan").alias("value")).filter("fund <> '' and value is not null").distinct()
-    found = map_values(pairs, names)
-    same = Window.partitionBy("fund", "core")
+    names = reference.select("name").filter("name is not null and trim(name) <> ''").distinct()
+    few = [r[0] for r in names.limit(max_names + 1).collect()]
+    if len(few) <= max_names:
+        found = map_values(pairs, few)
+    else:
+        core = F.pandas_udf(lambda s: s.map(lambda x: "".join(core_of(x)[0])), "string")
+        n = 2 * -(-names.count() // max_names)
+        part = names.withColumn("part", F.pmod(F.xxhash64(core("name")), F.lit(n)))  # names of one core stay together
+        found = map_by_parts(pairs, [[r[0] for r in part.filter(F.col("part") == k).select("name").collect()] for k in range(n)])
+    # unmatched titles have no core and nothing to settle; each is a partition of its own
+    same = Window.partitionBy("fund", "core", F.when(F.col("core") == "", F.col("value")))
     named = F.when(F.col("name") != UNMATCHED, F.col("name"))
     one = F.when((F.min(named).over(same) == F.max(named).over(same)) & (F.col("how") == "open"), F.min(named).over(same))
     settled = found.withColumn("other", one)

@@ -1,11 +1,11 @@
 """Percentiles of very large numeric columns (problem 2).
 
-Values are reduced to counts on a grid of ``resolution`` (an error of half a step at most;
+Values are reduced to counts on a grid of 1 / ``STEPS`` (an error of half a step at most;
 the partial results of separate days, files or tables add up exactly). Ranks are then
-found by cumulative frequencies: the grid values of a group are range-partitioned into
-slices by a fixed rule, slice totals give each slice its offset, and only slices that
-hold a target rank are sorted for running sums. A slice spans 1/64 of an octave, so it
-has a bounded number of grid values, however many rows a group has.
+found by cumulative frequencies: the counts are range-sorted by group and step, so a
+partition holds about as many counts as any other, whatever the values; partition totals
+give each one its offset, and only partitions that hold a target rank are sorted for running
+sums, which start at the offset. The first value that reaches the rank is the percentile.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terazi.session import cut, shuffle_partitions
+
 UNIVERSE = ("fonkodu", "start_date", "end_date", "archetype", "start_aum", "end_aum", "end_participants", "flow_pct", "market_effect_pct")
 FIELDS = ("flow_pct", "market_effect_pct")
 #: Percentiles in thousandths.
 TARGETS = (10, 50, 100, 250, 500, 750, 900, 950, 990)
 #: Grid steps per unit: an absolute error of 5e-7 at most.
 STEPS = 1_000_000
-#: Slices with a target rank that are sent to every task; more are joined by a shuffle.
-SENT_SLICES = 20_000
+#: Partitions with a target rank that are sent to every task; more are joined by a shuffle.
+SENT = 20_000
 
 
 def label(c: Column) -> Column:
@@ -43,33 +45,35 @@ def value_counts(universe: DataFrame, fields: Sequence[str] = FIELDS, steps: int
     return known.groupBy("archetype", "end_date", "field", (F.rint(F.col("v") * steps) + F.lit(0.0)).alias("step")).agg(F.count("*").alias("n"))
 
 
-def slice_of(step: Column) -> Column:
-    """Number of the range slice of a step; rises with the step."""
-    size = F.floor(F.log2(F.least(F.abs(step), F.lit(1e300)) + 1) * 64).cast("int")
-    return F.when(step < 0, -size).otherwise(size)
+def range_sorted(counts: DataFrame, parts: int) -> DataFrame:
+    """The counts, range-partitioned by group and step, with the number of their partition in ``part``; written once.
+
+    Equal steps of several days meet in one partition.
+    """
+    return cut(counts.select("archetype", "field", "step", "n").repartitionByRange(parts, "archetype", "field", "step").withColumn("part", F.spark_partition_id()))
 
 
-def percentiles(counts: DataFrame, targets: Sequence[int] = TARGETS, steps: int = STEPS) -> DataFrame:
+def percentiles(counts: DataFrame, targets: Sequence[int] = TARGETS, steps: int = STEPS, parts: int | None = None, sent: int = SENT) -> DataFrame:
     """Percentiles of combined partial results: archetype, field, permille, value, rank, n.
 
     value is the first whose cumulative count reaches rank = max(1, ceil(permille n / 1000)), so the
     median of an even number is the lower one. A group without values gives no rows.
     """
     group = ["archetype", "field"]
-    counts = counts.withColumn("slice", slice_of(F.col("step")))
-    before = Window.partitionBy(*group).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = counts.groupBy(*group, "slice").agg(F.sum("n").alias("size")).withColumns({"offset": F.coalesce(F.sum("size").over(before), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(*group))})
-    ranks = slices.withColumn("permille", F.explode(F.array(*(F.lit(int(t)) for t in targets)))).withColumn("rank", F.greatest(F.lit(1), F.expr("(permille * `all` + 999) div 1000")))
+    counts = range_sorted(counts, parts or shuffle_partitions(counts.sparkSession))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*group, "part").agg(F.sum("n").alias("size")).withColumns({"offset": F.coalesce(F.sum("size").over(before), F.lit(0)), "all": F.sum("size").over(Window.partitionBy(*group))})
+    ranks = totals.withColumn("permille", F.explode(F.array(*(F.lit(int(t)) for t in targets)))).withColumn("rank", F.greatest(F.lit(1), F.expr("(permille * `all` + 999) div 1000")))
     within = ranks.filter((F.col("rank") > F.col("offset")) & (F.col("rank") <= F.col("offset") + F.col("size")))
-    wanted = within.groupBy(*group, "slice").agg(F.first("offset").alias("offset"), F.first("all").alias("all"), F.collect_list(F.struct("permille", "rank")).alias("targets"))
+    wanted = within.groupBy(*group, "part").agg(F.first("offset").alias("offset"), F.first("all").alias("all"), F.collect_list(F.struct("permille", "rank")).alias("targets"))
     # a row per group and target at most: sent to the tasks while there are few groups, else joined by a shuffle
-    few = wanted.limit(SENT_SLICES + 1).collect()
-    if len(few) <= SENT_SLICES:
+    few = wanted.limit(sent + 1).collect()
+    if len(few) <= sent:
         wanted = F.broadcast(counts.sparkSession.createDataFrame([tuple(r) for r in few], wanted.schema))
-    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"w.{x}")) for x in (*group, "slice")]
-    picked = counts.alias("c").join(wanted.alias("w"), same).select(*(F.col(f"c.{x}").alias(x) for x in (*group, "slice", "step", "n")), "offset", "all", "targets")
-    total = picked.groupBy(*group, "slice", "step", "offset", "all", "targets").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy(*group, "slice").orderBy("step")
+    same = [F.col(f"c.{x}").eqNullSafe(F.col(f"w.{x}")) for x in (*group, "part")]
+    picked = counts.alias("c").join(wanted.alias("w"), same).select(*(F.col(f"c.{x}").alias(x) for x in (*group, "part", "step", "n")), "offset", "all", "targets")
+    total = picked.groupBy(*group, "part", "step", "offset", "all", "targets").agg(F.sum("n").alias("n"))
+    run = Window.partitionBy(*group, "part").orderBy("step")
     at = total.withColumn("upto", F.col("offset") + F.sum("n").over(run))
     hits = at.select(*group, "step", "all", F.explode(F.filter("targets", lambda x: (x["rank"] <= F.col("upto")) & (x["rank"] > F.col("upto") - F.col("n")))).alias("x"))
     return hits.select(*group, F.col("x.permille").alias("permille"), (F.col("step") / steps).alias("value"), F.col("x.rank").alias("rank"), F.col("all").alias("n"))

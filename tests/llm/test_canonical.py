@@ -2,7 +2,8 @@
 
 import pytest
 
-from terazi.llm.canonical import Matcher, edits, fold, map_founders, repair
+from terazi.llm import canonical
+from terazi.llm.canonical import Matcher, alike, edits, fold, map_founders, repair
 
 NAMES = ["VELMİRA PORTFÖY", "VELMİRA EMEKLİLİK VE HAYAT", "KORZUN PORTFÖY", "KORTUNA PORTFÖY", "TALVERİ PORTFÖY", "TALVERDİN PORTFÖY", "MİRKENT PORTFÖY", "MİRKENTAŞ EMEKLİLİK", "BAYKUTAN PYŞ", "LOMTARA YATIRIM PORTFÖY"]
 M = Matcher(NAMES)
@@ -38,6 +39,25 @@ def test_parts():
     assert [edits("abcd", x, 2) for x in ("abcd", "abdc", "abc", "xbcdy", "zzzz")] == [0, 1, 1, 2, 3]
 
 
+def test_token_sets(monkeypatch):
+    """Words of a name count by their letters, in any order; without the similarity only mentions are left."""
+    m = Matcher(["GÜNEŞLİ KORU PORTFÖY", "KORU PORTFÖY"])
+    assert alike("korzum", "korzun") == pytest.approx(5 / 6) and alike("korz", "xyzw") == 0
+    assert m.resolve("KORU GÜNESLY PORTFÖY FON")[1] == "mention"  # the shorter name is written in full
+    titles = ["TAVLERDİN PORTFÖY ALTIN FONU", "BEKUTAN P.Y.Ş. LİKİT FON", "KORTENA PORTFÖY FON", "VELMİRA PORTFÖY BİRİNCİ FON"]
+    monkeypatch.setattr(canonical, "LEAST_SET", 1.01)
+    assert [M.resolve(t)[0] for t in titles] == ["UNMATCHED"] * 3 + ["VELMİRA PORTFÖY"]
+
+
+def test_long_list_in_parts(spark):
+    """A list of several parts gives what one part gives, whatever the parts."""
+    titles = ["VELMİRA PORTFÖY FON", "VELMİRA", "TAVLERDİN PORTFÖY ALTIN", "TALVERİPORTFÖY", "MİRKENTAŞ EMEKLİLİK", "KORTENA PORTFÖY FON", "ROZAKENDİ KARMA", "KORZUN EMEKLİLİK", " ", "LOMTARA YATIRIM PORTFÖY"]
+    general = spark.createDataFrame([(f"F{i}", t) for i, t in enumerate(titles)], "fonkodu string, fonunvan string")
+    reference = spark.createDataFrame([(n,) for n in NAMES], "name string")
+    one, parts = ({(r.fonkodu, r.fonunvan, r.name, r.how) for r in map_founders(general, reference, most).collect()} for most in (100, 3))
+    assert one == parts and len(one) == len(titles)
+
+
 def test_table(spark):
     general = spark.createDataFrame(
         [("aa ", "VELMİRA PORTFÖY ALTIN FON"), ("AA", "VELMİRA PORTFÖY ALTIN FON"), ("AA", "ALTIN FON - VELMİRA"), ("BB", "ALTIN FON - VELMİRA"), (None, "KORZUN PORTFÖY"), ("CC", None), ("DD", " "), ("EE", "x" * 5000)],

@@ -4,7 +4,7 @@ import datetime as dt
 import math
 import random
 
-from terazi.llm.quantiles import TARGETS, percentiles, value_counts
+from terazi.llm.quantiles import TARGETS, percentiles, range_sorted, value_counts
 
 SCHEMA = "fonkodu string, start_date date, end_date date, archetype string, start_aum double, end_aum double, end_participants bigint, flow_pct double, market_effect_pct double"
 DAY = dt.date(2025, 1, 1)
@@ -63,3 +63,14 @@ def test_empty_and_single(spark):
     assert percentiles(value_counts(spark.createDataFrame([], SCHEMA))).count() == 0
     one = spark.createDataFrame([("A", DAY, DAY, "x", 1.0, 1.0, 1, 0.25, None)], SCHEMA)
     assert {(r.field, r.value) for r in percentiles(value_counts(one)).collect()} == {("flow_pct", 0.25)}
+
+
+def test_any_partitions_and_joins(spark):
+    """The ranges follow the counts: partitions of large values are as small as others, and give the same result."""
+    rng = random.Random(2)
+    data = [(f"F{i}", DAY, DAY + dt.timedelta(days=i % 3), "big", 1.0, 1.0, 1, rng.uniform(1e6, 1.01e6), float(i % 2)) for i in range(3000)]
+    counts = value_counts(spark.createDataFrame(data, SCHEMA))
+    sizes = [r["count"] for r in range_sorted(counts, 8).filter("field = 'flow_pct'").groupBy("part").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1200
+    results = [sorted(map(str, percentiles(counts, parts=p, sent=s).collect())) for p, s in ((1, 100), (8, 100), (8, 0))]
+    assert results[0] == results[1] == results[2] and len(results[0]) == 2 * len(TARGETS)
