@@ -12,7 +12,9 @@ readings don't inflate it). Smoothed means don't depend on it, only the uncertai
 A source that is too large for one task is cut into blocks. A first pass reduces each
 block to its conditional element (A, b, C, eta, J), that is 14 numbers; composing the
 elements gives the exact state before, and the exact information after, every block.
-A second pass then smooths each block, with the same result as one pass over the source.
+A second pass then smooths each block, with the same result as one pass over the source;
+its squared innovations are counted in bins of a thousandth, as those of uncut sources are,
+so the scale is the same too.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terazi.operators.series import BLOCK_ROWS, DAY_MICROS, by_key, finite, groups, latest_in, reading_rows, split_hot
-from terazi.session import shuffle_partitions
+from terazi.operators.series import BLOCK_ROWS, DAY_MICROS, binned_median, bins_of, by_key, finite, groups, headed, latest_in, reading_rows, split_hot, with_heads
+from terazi.session import cut, shuffle_partitions
 
 #: Median of a chi-square variable with one degree of freedom (fixed value).
 CHI2_MEDIAN = 0.4549364231195724
@@ -45,6 +47,11 @@ class TrendModel:
 
 
 OUT = "fund string, day int, value double, sd double, readings long, grid boolean"
+#: Of a block: rows of days, or counts of squared innovations by bin.
+PARTS = f"{OUT}, bin long, n long"
+PARTS_COLUMNS = [x.split()[0] for x in PARTS.split(", ")]
+#: Squared innovations below this are as good as none.
+TINY = 1e-30
 
 
 def business_days(first: int, last: int, holidays: np.ndarray) -> np.ndarray:
@@ -59,13 +66,13 @@ def smooth(t: np.ndarray, y: np.ndarray, grid: np.ndarray, m: TrendModel, start:
 
     ``start``: m1, m2, p11, p12, p22 of the state at ``start_at``, before any reading here.
     ``end``: e1, e2, j11, j12, j22, the information of all later readings on the state at ``end_at``.
-    Returns level, variance, sigma^2. NaN where no value is known at all.
+    Returns level, variance and the squared standardised innovations. NaN where no value is known at all.
     """
     ok = ~np.isnan(y)
     nan = np.full(len(grid), np.nan)
     if start is None:
         if not ok.any():
-            return nan, nan, math.nan
+            return nan, nan, np.zeros(0)
         start = (float(y[ok][0]), 0.0, m.prior_level, 0.0, m.prior_slope)
     # events: readings (by value) and grid times (NaN), in time; a reading comes before a grid time
     times = np.concatenate([t[ok], grid])
@@ -73,7 +80,7 @@ def smooth(t: np.ndarray, y: np.ndarray, grid: np.ndarray, m: TrendModel, start:
     order = np.argsort(times, kind="stable")
     te, ye = times[order].tolist(), what[order].tolist()
     if not te:
-        return nan, nan, math.nan
+        return nan, nan, np.zeros(0)
     q1, q2, r = m.level_var, m.slope_var, m.obs_var
     m1, m2, p11, p12, p22 = start
     now = te[0] if start_at is None else start_at
@@ -126,20 +133,19 @@ def smooth(t: np.ndarray, y: np.ndarray, grid: np.ndarray, m: TrendModel, start:
             x1, x2 = m1 + p11 * e1 + p12 * e2, m2 + p12 * e1 + p22 * e2
             level.append((g22 * x1 - g12 * x2) / det)
             var.append((g22 * p11 - g12 * p12) / det)
-    scale = float(np.median(white)) / CHI2_MEDIAN if len(white) > 1 else math.nan
-    return np.array(level[::-1]), np.array(var[::-1]), scale
+    return np.array(level[::-1]), np.array(var[::-1]), np.array(white)
 
 
 def element(t: np.ndarray, y: np.ndarray, m: TrendModel) -> tuple:
     """Conditional element of a block, from before its first to after its last reading.
 
-    (a11 a12 a21 a22, b1 b2, c11 c12 c22, e1 e2, j11 j12 j22, scale, values): given the state x at the
-    start, the end is A x + b with covariance C; eta and J hold what the block says about x.
+    (a11 a12 a21 a22, b1 b2, c11 c12 c22, e1 e2, j11 j12 j22): given the state x at the start, the end is
+    A x + b with covariance C; eta and J hold what the block says about x.
     """
     q1, q2, r = m.level_var, m.slope_var, m.obs_var
     a11, a12, a21, a22, b1, b2, c11, c12, c22 = 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0
     e1 = e2 = j11 = j12 = j22 = 0.0
-    now, white = float(t[0]), []
+    now = float(t[0])
     for at, v in zip(t.tolist(), y.tolist(), strict=True):
         d = at - now
         if d:
@@ -159,17 +165,13 @@ def element(t: np.ndarray, y: np.ndarray, m: TrendModel) -> tuple:
             j12 += a11 * a12 / s
             j22 += a12 * a12 / s
             k1, k2 = c11 / s, c12 / s
-            if j11 > 0:
-                left = e - a11 * (e1 / j11)
-                white.append(left * left / s)
             b1 += k1 * e
             b2 += k2 * e
             a21, a22 = a21 - k2 * a11, a22 - k2 * a12
             a11, a12 = a11 - k1 * a11, a12 - k1 * a12
             c22 -= k2 * c12
             c11, c12 = c11 - k1 * c11, c12 - k1 * c12
-    scale = float(np.median(white[1:])) / CHI2_MEDIAN if len(white) > 2 else math.nan
-    return a11, a12, a21, a22, b1, b2, c11, c12, c22, e1, e2, j11, j12, j22, scale, len(white)
+    return a11, a12, a21, a22, b1, b2, c11, c12, c22, e1, e2, j11, j12, j22
 
 
 def _transition(d: float, m: TrendModel) -> tuple[np.ndarray, np.ndarray]:
@@ -180,12 +182,11 @@ def _transition(d: float, m: TrendModel) -> tuple[np.ndarray, np.ndarray]:
 def compose(blocks: pd.DataFrame, m: TrendModel) -> pd.DataFrame:
     """State before, and information after, each block of one source (rows sorted by block).
 
-    In: block, t0, t1 (first and last reading, days), y0 (first value), e0..e15. Out: one row per block:
-    block, next_t (start of the next block, else null), s0..s4 (state at t0), z0..z4 (information at
-    next_t), scale.
+    In: block, t0, t1 (first and last reading, days), y0 (first value), e0..e13. Out: one row per block:
+    block, next_t (start of the next block, else null), s0..s4 (state at t0), z0..z4 (information at next_t).
     """
     n = len(blocks)
-    el = blocks[[f"e{i}" for i in range(16)]].to_numpy(dtype=float)
+    el = blocks[[f"e{i}" for i in range(14)]].to_numpy(dtype=float)
     t0, t1 = blocks["t0"].to_numpy(dtype=float), blocks["t1"].to_numpy(dtype=float)
     eye = np.eye(2)
     values = blocks["y0"].dropna()
@@ -211,14 +212,17 @@ def compose(blocks: pd.DataFrame, m: TrendModel) -> pd.DataFrame:
         a, b, c = el[i, 0:4].reshape(2, 2), el[i, 4:6], np.array([[el[i, 6], el[i, 7]], [el[i, 7], el[i, 8]]])
         w = np.linalg.inv(eye + j @ c)
         eta, j = a.T @ (w @ (eta - j @ b)) + el[i, 9:11], a.T @ (w @ j) @ a + np.array([[el[i, 11], el[i, 12]], [el[i, 12], el[i, 13]]])
-    known = ~np.isnan(el[:, 14])
-    scale = float(np.average(el[known, 14], weights=el[known, 15])) if known.any() else math.nan
     out = {"block": blocks["block"].to_numpy(), "next_t": [*t0[1:], math.nan]}
     out |= {f"s{k}": [x[k] for x in before] for k in range(5)} | {f"z{k}": [x[k] for x in after] for k in range(5)}
-    return pd.DataFrame(out).assign(scale=scale, any_value=bool(len(values)))
+    return pd.DataFrame(out).assign(any_value=bool(len(values)))
 
 
-def _rows(fund: str, t: np.ndarray, y: np.ndarray, grid: np.ndarray, level, var, scale) -> pd.DataFrame:
+def scale_of(bins: np.ndarray, counts: np.ndarray) -> float:
+    """sigma^2 from the counted squared innovations; NaN for fewer than two."""
+    return binned_median(bins, counts) / CHI2_MEDIAN if counts.sum() > 1 else math.nan
+
+
+def _rows(fund: str, t: np.ndarray, grid: np.ndarray, level: np.ndarray, var: np.ndarray, scale: float = 1.0) -> pd.DataFrame:
     """One row per grid day, and one of each other day with readings (grid false)."""
     day, n = np.unique(t // DAY_MICROS, return_counts=True)
     days = np.union1d(day, grid)
@@ -260,7 +264,8 @@ def to_grid(general: DataFrame, holidays: DataFrame, field: str = "fiyat", model
             if not len(t):
                 continue
             grid = business_days(t[0] // DAY_MICROS, t[-1] // DAY_MICROS, off)
-            out.append(_rows(fund, t, y, grid, *smooth(t / DAY_MICROS, y, grid + 1.0, model)))
+            level, var, white = smooth(t / DAY_MICROS, y, grid + 1.0, model)
+            out.append(_rows(fund, t, grid, level, var, scale_of(*bins_of(np.maximum(white, TINY)))))
             size += len(out[-1])
             if size > 20_000:
                 yield pd.concat(out)
@@ -271,7 +276,7 @@ def to_grid(general: DataFrame, holidays: DataFrame, field: str = "fiyat", model
     order = ["t", "loaded", "row_id"]
     found = by_key(split.cold, ["fund"], order, parts).mapInPandas(whole, OUT)
     if split.hot is not None:
-        found = found.unionByName(_hot(by_key(split.hot, ["fund", "block"], order, parts), model, off, parts))
+        found = found.unionByName(_hot(split.hot, model, off, parts))
     return found.filter("grid").select(
         F.col("fund").alias("fonkodu"),
         F.date_format(F.date_from_unix_date("day"), "yyyy-MM-dd").alias("gun"),
@@ -283,10 +288,11 @@ def to_grid(general: DataFrame, holidays: DataFrame, field: str = "fiyat", model
 
 
 def _hot(rows: DataFrame, model: TrendModel, off: np.ndarray, parts: int) -> DataFrame:
-    numbers = [f"e{i}" for i in range(16)]
+    numbers = [f"e{i}" for i in range(14)]
+    keys, order = ["fund", "block"], ["t", "loaded", "row_id"]
 
     def elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (fund, block), pdf in groups(batches, ["fund", "block"]):
+        for (fund, block), pdf in groups(batches, keys):
             t, y = _arrays(latest_in(pdf))
             if len(t):
                 first = y[~np.isnan(y)][:1]
@@ -299,28 +305,33 @@ def _hot(rows: DataFrame, model: TrendModel, off: np.ndarray, parts: int) -> Dat
         return out.assign(first=first, last=math.floor(pdf["t1"].max()))
 
     state = [*(f"s{k}" for k in range(5)), *(f"z{k}" for k in range(5))]
-    each = rows.mapInPandas(elements, "fund string, block int, t0 double, t1 double, y0 double, " + ", ".join(f"{x} double" for x in numbers))
-    known = each.groupBy("fund").applyInPandas(states, "fund string, block int, next_t double, " + ", ".join(f"{x} double" for x in state) + ", scale double, any_value boolean, first int, last int")
+    each = by_key(rows, keys, order, parts).mapInPandas(elements, "fund string, block int, t0 double, t1 double, y0 double, " + ", ".join(f"{x} double" for x in numbers))
+    # one row of 14 numbers per block: a source of a billion readings has some ten thousand
+    known = each.groupBy("fund").applyInPandas(states, "fund string, block int, next_t double, " + ", ".join(f"{x} double" for x in state) + ", any_value boolean, first int, last int")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for (fund, _), pdf in groups(batches, ["fund", "block"]):
-            s = pdf.iloc[0]
+        for (fund, _), s, pdf in headed(batches, keys):
             t, y = _arrays(latest_in(pdf))
             if not len(t):
                 continue
             days = business_days(int(s["first"]), int(s["last"]), off)
-            lo = t[0] / DAY_MICROS
-            mine = days[(days + 1.0 > lo) & ((days + 1.0 <= s["next_t"]) if s["next_t"] == s["next_t"] else True)]
+            lo, more = t[0] / DAY_MICROS, s["next_t"] == s["next_t"]
+            mine = days[(days + 1.0 > lo) & ((days + 1.0 <= s["next_t"]) if more else True)]
+            level = var = np.full(len(mine), np.nan)
             if s["any_value"]:
                 start, end = tuple(s[f"s{k}"] for k in range(5)), tuple(s[f"z{k}"] for k in range(5))
-                level, var, _ = smooth(t / DAY_MICROS, y, mine + 1.0, model, start, lo, end, s["next_t"] if s["next_t"] == s["next_t"] else None)
-            else:
-                level = var = np.full(len(mine), np.nan)
-            yield _rows(fund, t, y, mine, level, var, s["scale"])
-
-    order = ["t", "loaded", "row_id"]
-    out = by_key(rows.join(known, ["fund", "block"]), ["fund", "block"], order, parts).mapInPandas(blocks, OUT)
-    return out.groupBy("fund", "day").agg(F.max("value").alias("value"), F.max("sd").alias("sd"), F.sum("readings").alias("readings"), F.max("grid").alias("grid"))
+                level, var, white = smooth(t / DAY_MICROS, y, mine + 1.0, model, start, lo, end, s["next_t"] if more else None)
+                if len(white):
+                    at, n = bins_of(np.maximum(white, TINY))
+                    yield pd.DataFrame({"fund": fund, "bin": at, "n": n}).reindex(columns=PARTS_COLUMNS)
+            yield _rows(fund, t, mine, level, var).reindex(columns=PARTS_COLUMNS)
+
+    out = cut(by_key(with_heads(rows, known), keys, ["role", *order], parts).mapInPandas(blocks, PARTS))
+    scale = F.pandas_udf(lambda b, n: scale_of(np.asarray(b), np.asarray(n)), "double", F.PandasUDFType.GROUPED_AGG)
+    # sums of counts by bin of each hot source, then one number per source
+    noise = out.filter("bin is not null").groupBy("fund", "bin").agg(F.sum("n").alias("n")).groupBy("fund").agg(scale("bin", "n").alias("scale"))
+    days = out.filter("bin is null").groupBy("fund", "day").agg(F.max("value").alias("value"), F.max("sd").alias("sd"), F.sum("readings").alias("readings"), F.max("grid").alias("grid"))
+    return days.join(noise, "fund", "left").select("fund", "day", "value", (F.col("sd") * F.sqrt("scale")).alias("sd"), "readings", "grid")
 
 
 def missing_days(grid: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ through a summary of fixed size per block.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,11 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terazi.session import cut
+
 BLANKS = " \t\r\n "
 #: Most rows of one source that a task handles at once; larger sources are cut.
 BLOCK_ROWS = 100_000
-#: Largest list of hot sources that is sent to every task as a literal; more are joined.
-HOT_LIST = 2_000
+#: Hot sources at most: the least size of one rises with the table, so that there can't be more.
+HOT_LIST = 500_000
+#: Hot sources that are named in the filter itself; more are sent as a table.
+NAMED = 2_000
 NO_TIME = -(2**63) + 1
 DAY_MICROS = 86_400_000_000
 
@@ -70,28 +75,61 @@ class Split:
     hot: DataFrame | None
 
 
-def split_hot(rows: DataFrame, block_rows: int = BLOCK_ROWS, hot_list: int = HOT_LIST) -> Split:
-    """Cut sources of more than ``block_rows`` rows into blocks of equal length in time.
+def split_hot(rows: DataFrame, block_rows: int = BLOCK_ROWS, hot_list: int = HOT_LIST, named: int = NAMED) -> Split:
+    """Cut sources of more than ``block_rows`` rows into blocks of neighbouring moments, of about half as many rows.
 
-    Counts are combined map-side, one row per source leaves a task. The sources above
-    the limit number at most total / block_rows; while they fit ``hot_list`` they become
-    a literal, else both sides are joined by a shuffle.
+    Counts are combined map-side, one row per source leaves a task. At most ``hot_list`` sources can have more than
+    total / ``hot_list`` rows; that is the limit where it is larger, so the list that is sent is bounded whatever
+    the table. Their rows are range-partitioned by source and moment (by Spark's sample of the rows, so bunched
+    readings make short blocks) and written once with the number of their partition, the block; rows of one source
+    and moment share a block.
     """
     spark = rows.sparkSession
-    counts = (
-        rows.groupBy("fund").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).filter(F.col("n") > block_rows)
-        .select("fund", "t0", F.greatest(F.lit(1), F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / (block_rows / 2)))).cast("bigint").alias("span"))
-    )
-    found = counts.limit(hot_list + 1).collect()
+    counts = rows.groupBy("fund").agg(F.count("*").alias("n"))
+    limit = block_rows
+    found = counts.filter(F.col("n") > limit).limit(hot_list + 1).collect()
+    if len(found) > hot_list:
+        limit = -(-counts.agg(F.sum("n")).first()[0] // hot_list)
+        found = counts.filter(F.col("n") > limit).collect()
     if not found:
         return Split(rows, None)
-    if len(found) <= hot_list:
-        hot = F.broadcast(spark.createDataFrame([tuple(r) for r in found], counts.schema))
-        cold = rows.filter(~F.col("fund").isin([r.fund for r in found])) if len(found) <= 200 else rows.join(hot, "fund", "left_anti")
+    names = [r["fund"] for r in found]
+    if len(names) <= named:
+        hot, cold = rows.filter(F.col("fund").isin(names)), rows.filter(~F.col("fund").isin(names))
     else:
-        hot, cold = counts.hint("shuffle_merge"), rows.join(counts.hint("shuffle_merge"), "fund", "left_anti")
-    blocked = rows.join(hot, "fund").withColumn("block", F.floor((F.col("t") - F.col("t0")) / F.col("span")).cast("int")).drop("t0", "span")
-    return Split(cold, blocked)
+        table = F.broadcast(spark.createDataFrame([(x,) for x in names], "fund string"))
+        hot, cold = rows.join(table, "fund", "left_semi"), rows.join(table, "fund", "left_anti")
+    blocks = -(-2 * sum(r["n"] for r in found) // limit)
+    return Split(cold, cut(hot.repartitionByRange(blocks, "fund", "t").withColumn("block", F.spark_partition_id())))
+
+
+def with_heads(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows (role 1) and, before them, one row of state per source and block (role 0): no join, nothing is repeated per row."""
+    filled = {f.name: F.lit(0 if f.dataType.typeName() in ("long", "integer") else False).cast(f.dataType) for f in rows.schema if f.name not in heads.columns and f.dataType.typeName() in ("long", "integer", "boolean")}
+    return rows.withColumn("role", F.lit(1)).unionByName(heads.withColumns(filled | {"role": F.lit(0)}), allowMissingColumns=True)
+
+
+def headed(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.Series, pd.DataFrame]]:
+    """Key, state and rows of each group of ``with_heads``, sorted by role; groups without either are skipped."""
+    for key, pdf in groups(batches, keys):
+        if len(pdf) > 1 and pdf["role"].iloc[0] == 0 and pdf["role"].iloc[1] == 1:
+            yield key, pdf.iloc[0], pdf.iloc[1:]
+
+
+#: Width of the bins that medians are counted in, on a logarithmic scale.
+BIN = math.log(1.001)
+
+
+def bins_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of positive values and their counts."""
+    return np.unique(np.floor(np.log(x) / BIN).astype(np.int64), return_counts=True)
+
+
+def binned_median(bins: np.ndarray, counts: np.ndarray) -> float:
+    """Median of values counted in bins, which may repeat: the middle of the bin that reaches half. Sums of counts give the same whatever the parts."""
+    order = np.argsort(bins, kind="stable")
+    upto = np.cumsum(counts[order])
+    return math.exp((bins[order][np.searchsorted(upto, (upto[-1] + 1) // 2)] + 0.5) * BIN)
 
 
 def by_key(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:

@@ -5,10 +5,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terazi.operators.faults import FaultRules, faults_of, find_faults
 from terazi.operators.grid import TrendModel, missing_days, smooth, to_grid
 from terazi.operators.rolling import trailing
+from terazi.operators.series import reading_rows, split_hot
 
 SCHEMA = "kayit_no bigint, fonkodu string, fonunvan string, tarih timestamp, fiyat double, tedpaysayisi double, kisisayisi bigint, portfoybuyukluk double, borsabultenfiyat double, yukleme timestamp"
 
@@ -75,7 +77,7 @@ def test_blocks_of_a_hot_source_give_the_same_grid(spark):
     for k, a in one.items():
         assert (a.okuma, a.eksik) == (cut[k].okuma, cut[k].eksik)
         assert a.deger == pytest.approx(cut[k].deger, rel=1e-9)
-        assert a.sapma == pytest.approx(cut[k].sapma, rel=0.5)
+        assert a.sapma == pytest.approx(cut[k].sapma, rel=1e-6)
     assert not any(g == "2025-01-06" for _, g in one)
 
 
@@ -157,11 +159,31 @@ def test_blocks_of_a_hot_source_give_the_same_faults(spark):
     assert find_faults(general(spark, [])).count() == 0
 
 
-def test_many_hot_sources_are_joined(spark):
-    from terazi.operators.series import reading_rows, split_hot
-
+def test_hot_sources(spark):
     rows = reading_rows(general(spark, rows_of(funds=("AAA", "BBB", "CCC"), hot="BBB", days=40)))
-    one, two = split_hot(rows, 20), split_hot(rows, 20, hot_list=1)
-    key = lambda d: sorted(map(tuple, d.select("fund", "t", "block").collect()))
-    assert key(one.hot) == key(two.hot) and one.cold.count() == two.cold.count() == 0
+    named, sent = split_hot(rows, 20), split_hot(rows, 20, named=1)
+    key = lambda d: sorted(map(tuple, d.select("fund", "t").collect()))
+    assert key(named.hot) == key(sent.hot) and named.cold.count() == sent.cold.count() == 0
     assert {r.fund for r in split_hot(rows, 100).hot.select("fund").distinct().collect()} == {"BBB"}
+    # the list can't be longer than asked for: the limit becomes the total over its length
+    short = split_hot(rows, 20, hot_list=2)
+    assert {r.fund for r in short.hot.select("fund").distinct().collect()} == {"BBB"} and short.cold.count() + short.hot.count() == rows.count()
+
+
+def test_bunched_readings_make_even_blocks(spark):
+    """All but a few readings in one hour of ten years: blocks follow the rows, not the time; one moment stays in one block."""
+    first, last = dt.datetime(2015, 1, 1), dt.datetime(2025, 1, 1)
+    moments = [first, *(dt.datetime(2020, 1, 1) + dt.timedelta(seconds=i) for i in range(3000)), last]
+    rows = [(i, "HOT", None, t, 1.0 + i, 1.0, 1, 1.0, None, t) for i, t in enumerate(moments)]
+    rows += [(9000 + i, "HOT", None, moments[77], 5.0, 1.0, 1, 1.0, None, last) for i in range(40)]
+    split = split_hot(reading_rows(general(spark, rows)), 400)
+    sizes = [r["count"] for r in split.hot.groupBy("block").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 800
+    assert split.hot.groupBy("t").agg(F.countDistinct("block").alias("n")).filter("n > 1").count() == 0
+
+
+def test_the_ellipsoid_decides(spark):
+    """With an ellipsoid of no size every bump that returns would be a spike; with a huge one none is."""
+    df = general(spark, [tuple(r[:4]) + (r[4] * (1.6 if i % 50 == 30 else 1.0),) + tuple(r[5:]) for i, r in enumerate(rows_of(seed=4, days=200))])
+    n = [find_faults(df, FaultRules(reach=x)).filter("kind = 'spike'").count() for x in (0.0, 4.5, 1e6)]
+    assert n[0] > 5 * n[1] and n[1] > 4 and n[2] == 0
