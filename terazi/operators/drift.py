@@ -30,7 +30,7 @@ IDS = ("fonkodu", "tarih", "fonunvan")
 RENAME_COST = 4.0
 #: Weights agree within this share of the larger one, or this many points.
 CLOSE_SHARE, CLOSE_POINTS = 0.2, 0.05
-#: Sources that must have a weight other than zero in either field.
+#: Sources with a weight other than zero in either field; with fewer, all must agree, and no other field may agree with either.
 LEAST_SOURCES = 3
 #: Fields of open steps that are sent to every task; more are joined by a shuffle.
 SENT_FIELDS = 100_000
@@ -55,20 +55,22 @@ def raw_long(raw: DataFrame, depth: int = 1) -> DataFrame:
     With ``depth`` above 1, fields of nested objects become paths with dots.
     """
     lines = raw.select("feed", F.col("file_seq").cast("int").alias("file_seq"), "payload").filter("feed is not null and file_seq is not null and payload is not null").distinct()
-    parsed = lines.select("feed", "file_seq", F.expr("try_parse_json(payload)").alias("v")).filter("schema_of_variant(v) like 'OBJECT<%'")
+    # a record is an object: its first sign tells, without a schema of all it holds
+    parsed = lines.filter("ltrim(' \t\r\n', payload) like '{%'").select("feed", "file_seq", F.expr("try_parse_json(payload)").alias("v")).filter("v is not null")
     ids = parsed.select(
         "feed", "file_seq", "v", source_code(F.expr("try_variant_get(v, '$.fonKodu', 'string')")).alias("fund"),
         F.expr("try_to_date(try_variant_get(v, '$.tarih', 'string'), 'yyyy-MM-dd')").alias("day"), F.lit("").alias("parent"),
     )
     levels, at = [], ids
     for level in range(depth):
-        at.createOrReplaceTempView("terazi_drift_level")
-        each = at.sparkSession.sql("select feed, file_seq, fund, day, parent, e.key, e.value from terazi_drift_level, lateral variant_explode(v) e")
+        each = at.lateralJoin(at.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value")).select("feed", "file_seq", "fund", "day", "parent", "key", "value")
         typed = each.withColumns({"field": F.concat("parent", "key"), "type": F.expr("schema_of_variant(value)")}).filter(~F.lower("field").isin(*IDS))
         nested = F.col("type").like("OBJECT<%") if level + 1 < depth else F.lit(False)
         kind = F.when(F.col("type") == "VOID", "null").when(F.col("type") == "STRING", "text").when(F.col("type").rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), "number").otherwise("other")
-        leaf = typed.filter(~nested).select("feed", "file_seq", "fund", "day", "field", kind.alias("kind"), F.expr("try_variant_get(value, '$', 'string')").alias("text"))
-        levels.append(leaf.select("feed", "file_seq", "fund", "day", "field", "kind", F.when(F.col("kind").isin("text", "number"), number_of(F.col("text"))).alias("weight")))
+        leaf = typed.filter(~nested).select("feed", "file_seq", "fund", "day", "field", kind.alias("kind"), "value")
+        told = F.expr("try_variant_get(value, '$', 'double')")
+        weight = F.when(F.col("kind") == "text", number_of(F.expr("try_variant_get(value, '$', 'string')"))).when((F.col("kind") == "number") & (F.abs(told) != float("inf")), told)
+        levels.append(leaf.select("feed", "file_seq", "fund", "day", "field", "kind", weight.alias("weight")))
         at = typed.filter(nested).select("feed", "file_seq", F.col("value").alias("v"), "fund", "day", F.concat("field", F.lit(".")).alias("parent"))
     return reduce(DataFrame.unionByName, levels)
 
@@ -223,17 +225,31 @@ def edit(old: dict, new: dict, agree: dict[tuple[str, str], float], at: tuple[st
 
 
 def with_moves(script: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """A field deleted under one parent and added under another keeps its name: moved (flat schemas have none)."""
+    """A field deleted under one parent and added under another keeps its name: moved (flat schemas have none).
+
+    Where several parents lost or got a field of one name, they are paired in order of their paths.
+    """
     name = lambda p: p.rsplit(".", 1)[-1]
-    gone = {name(p): p for c, p, _ in script if c == "removed"}
-    out, used = [], set()
-    for c, p, q in script:
-        if c == "added" and name(p) in gone and gone[name(p)] != p and name(p) not in used:
-            used.add(name(p))
-            out.append(("moved", gone[name(p)], p))
-        else:
-            out.append((c, p, q))
-    return [x for x in out if not (x[0] == "removed" and name(x[1]) in used and gone[name(x[1])] == x[1])]
+    gone: dict[str, list[str]] = {}
+    for c, p, _ in sorted(script):
+        if c == "removed":
+            gone.setdefault(name(p), []).append(p)
+    moved = {}
+    for c, p, _ in sorted(script):
+        if c == "added" and gone.get(name(p)):
+            moved[p] = gone[name(p)].pop(0)
+    left = set(moved.values())
+    return [("moved", moved[p], p) if c == "added" and p in moved else (c, p, q) for c, p, q in script if not (c == "removed" and p in left)]
+
+
+def agreement(proof) -> dict[tuple[str, str], float]:
+    """Share of sources that agree, by old and new field; a pair of fewer than ``LEAST_SOURCES`` counts only if it is without doubt."""
+    pairs = {(p["field"], p["new_field"]): (p["agree"], p["sources"]) for p in proof}
+    out = {}
+    for (f, g), (agree, sources) in pairs.items():
+        rival = any(a for (x, y), (a, _) in pairs.items() if (x == f) != (y == g))
+        out[f, g] = agree / sources if sources >= LEAST_SOURCES or (agree == sources and not rival) else 0.0
+    return out
 
 
 CHANGES = "feed string, file_seq int, change string, field string, new_field string"
@@ -250,7 +266,7 @@ def changes(fields: DataFrame, long: DataFrame) -> DataFrame:
             out = []
             for feed, seq, before, after, proof in zip(pdf["feed"], pdf["file_seq"], pdf["before"], pdf["after"], pdf["proof"], strict=True):
                 old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
-                agree = {(p["field"], p["new_field"]): p["agree"] / p["sources"] for p in (proof if proof is not None else ()) if p["sources"] >= LEAST_SOURCES}
+                agree = agreement(proof if proof is not None else ())
                 _, script = edit(tree(list(old)), tree(list(new)), agree)
                 script = with_moves(script) + [("retyped", f, "") for f in old if f in new and old[f] and new[f] and old[f] != new[f]]
                 out += [(feed, seq, *x) for x in script]
@@ -260,26 +276,25 @@ def changes(fields: DataFrame, long: DataFrame) -> DataFrame:
 
 
 def projections(fields: DataFrame, report: DataFrame) -> DataFrame:
-    """Compiled scripts: feed, file_seq, field, canonical (the field's name in the latest file that has it)."""
-    both = fields.select("feed", "file_seq", "field", F.lit("").alias("new_field"), F.lit("field").alias("change")).unionByName(report.filter("change in ('renamed', 'moved')"), allowMissingColumns=True)
+    """Compiled scripts: feed, file_seq, field, canonical (the field's name in the latest file that has it).
+
+    Only the renamings of a feed, which are few, are followed one after the other; its files and fields are joined
+    with what they come to: a name means what its first renaming after the file leads to.
+    """
 
     def compiled(pdf: pd.DataFrame) -> pd.DataFrame:
-        files = sorted(pdf.loc[pdf["change"] == "field", "file_seq"].unique(), reverse=True)
-        renames: dict[int, dict[str, str]] = {}
-        for seq, f, g in pdf.loc[pdf["change"] != "field", ["file_seq", "field", "new_field"]].itertuples(index=False):
-            renames.setdefault(seq, {})[f] = g
-        own = {seq: x["field"].tolist() for seq, x in pdf[pdf["change"] == "field"].groupby("file_seq")}
-        out, later, step = [], {}, {}
-        for seq in files:  # from the last file back
-            here = {}
-            for f in own[seq]:
-                g = step.get(f, f)
-                here[f] = later.get(g, g)
-                out.append((pdf["feed"].iloc[0], seq, f, here[f]))
-            later, step = {**later, **here}, renames.get(seq, {})
-        return pd.DataFrame(out, columns=["feed", "file_seq", "field", "canonical"])
-
-    return both.groupBy("feed").applyInPandas(compiled, "feed string, file_seq int, field string, canonical string")
+        later: dict[str, str] = {}
+        out = []
+        for seq, step in sorted(pdf.groupby("file_seq"), reverse=True):  # from the last file back
+            here = {f: later.get(g, g) for f, g in zip(step["field"], step["new_field"], strict=True)}
+            later |= here
+            out += [(pdf["feed"].iloc[0], f, seq, c) for f, c in here.items()]
+        return pd.DataFrame(out, columns=["feed", "field", "seq", "canonical"])
+
+    renamed = report.filter("change in ('renamed', 'moved')").groupBy("feed").applyInPandas(compiled, "feed string, field string, seq int, canonical string")
+    both = fields.select("feed", "file_seq", "field").join(renamed.withColumnRenamed("seq", "until"), ["feed", "field"], "left").filter("until is null or until > file_seq or canonical is not null")
+    after = F.when(F.col("until") > F.col("file_seq"), F.col("until"))
+    return both.groupBy("feed", "file_seq", "field").agg(F.coalesce(F.min_by("canonical", after), F.col("field")).alias("canonical"))
 
 
 class Drift:

@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from terazi.config import StressConfig
 from terazi.functions.labels import div, founder, yes
-from terazi.operators.panel import flow_features, published, unpublished
+from terazi.operators.panel import dedupe_last, flow_features, published, unpublished
 
 
 def daily(panel: DataFrame) -> DataFrame:
-    """Published rows with the day's flow; still: units and holders unchanged; price_moved: also true where there was no price before."""
-    f = flow_features(published(panel).filter("date is not null"))
+    """Published rows with the day's flow; still: units and holders unchanged; price_moved: also true where there was no price before.
+
+    Of rows of the same fund and day the last counts: by the column ``loaded`` if there is one, else by the order of the rows.
+    """
+    rows = published(panel).filter("date is not null")
+    order = F.col("loaded") if "loaded" in panel.columns else F.monotonically_increasing_id()
+    f = flow_features(dedupe_last(rows.withColumn("@order", order), ["fund_code", "date"], "@order").drop("@order"))
     c = F.col
     return f.select(
         "fund_code", "fund_name", "date", "price", "units", "holders", "aum", "prev_aum", "fund_return", c("flow_unit").alias("flow"), c("flow_unit_pct").alias("flow_pct"),
@@ -61,7 +66,7 @@ def event_of(index: DataFrame, config: StressConfig = StressConfig()) -> DataFra
 def freezes(rows: DataFrame, config: StressConfig = StressConfig()) -> DataFrame:
     """The longest still spell (earliest of equals) of each fund that stopped dealing after dealing, while its price moved."""
     w = Window.partitionBy("fund_code").orderBy("date")
-    runs = rows.withColumns({"i": F.row_number().over(w), "last_day": F.max("date").over(Window.partitionBy())})
+    runs = rows.withColumn("i", F.row_number().over(w))
     runs = runs.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy("fund_code", "still").orderBy("date")))
     spells = runs.filter("still").groupBy("fund_code", "island").agg(F.count("*").alias("frozen_days"), F.min("i").alias("first_i"), F.min("date").alias("frozen_since"), F.max("date").alias("frozen_until"), F.avg(F.col("price_moved").cast("int")).alias("moved"))
     longest = spells.withColumn("pos", F.row_number().over(Window.partitionBy("fund_code").orderBy(F.desc("frozen_days"), "frozen_since"))).filter((F.col("pos") == 1) & (F.col("frozen_days") >= config.freeze_min_days))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -51,8 +52,12 @@ def post(url: str, body: dict, timeout: float) -> list[dict]:
         return json.loads(answer.read()).get("data", [])
 
 
-def fetch_period(kind: str, start: dt.date, end: dt.date, config: FetchConfig, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict]:
-    """Rows of one month and kind (general or allocation); none after the last failure."""
+class NoAnswer(RuntimeError):
+    """A period that never answered, or only with nothing although it must have rows."""
+
+
+def ask(kind: str, start: dt.date, end: dt.date, config: FetchConfig, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict] | None:
+    """Rows of one month and kind (general or allocation); None after the last failure."""
     for attempt in range(config.retries):
         try:
             rows = transport(f"{config.base_url}/{kind}", payload(start, end, config), config.timeout)
@@ -61,24 +66,36 @@ def fetch_period(kind: str, start: dt.date, end: dt.date, config: FetchConfig, t
         except Exception:
             if attempt + 1 < config.retries:
                 sleep(config.pause_after_error)
-    return []
+    return None
 
 
-def fetch_strict(kind: str, start: dt.date, end: dt.date, config: FetchConfig, today: dt.date, rounds: int = 4, wait: float = 60.0, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict]:
-    """All months, asking again for empty ones; RuntimeError if one stays empty, unless it only covers today."""
-    got: dict[tuple, list[dict]] = {}
-    open_ = month_chunks(start, end)
+def fetch_period(kind: str, start: dt.date, end: dt.date, config: FetchConfig, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict]:
+    """Rows of one month; none after the last failure. Use ``fetch_complete`` where a hole matters."""
+    return ask(kind, start, end, config, transport, sleep) or []
+
+
+def may_be_empty(start: dt.date, end: dt.date, today: dt.date) -> bool:
+    """A period that begins today or later, or that holds only days of a weekend, may rightly have no rows."""
+    return start >= today or all((start + dt.timedelta(days=i)).weekday() > 4 for i in range((end - start).days + 1))
+
+
+def fetch_complete(kind: str, start: dt.date, end: dt.date, config: FetchConfig, today: dt.date, rounds: int = 4, wait: float = 60.0, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict]:
+    """Rows of one month, asked for again while the answer is missing or empty; NoAnswer if it stays so.
+
+    A source that limits requests answers with nothing, so an empty answer says no more than a failure.
+    """
     for turn in range(rounds):
-        for c in open_:
-            got[c] = fetch_period(kind, *c, config, transport, sleep)
-        open_ = [c for c in open_ if not got[c] and not (c[0] >= today)]
-        if not open_:
-            break
+        rows = ask(kind, start, end, config, transport, sleep)
+        if rows or (rows is not None and may_be_empty(start, end, today)):
+            return rows
         if turn + 1 < rounds:
             sleep(wait)
-    if open_:
-        raise RuntimeError(f"no answer for {open_}")
-    return [r for c in sorted(got) for r in got[c]]
+    raise NoAnswer(f"no answer for {kind} of {start} to {end}")
+
+
+def fetch_strict(kind: str, start: dt.date, end: dt.date, config: FetchConfig, today: dt.date, rounds: int = 4, wait: float = 60.0, transport: Callable = post, sleep: Callable = time.sleep) -> list[dict]:
+    """All months, each complete; NoAnswer names the first that isn't."""
+    return [r for a, b in month_chunks(start, end) for r in fetch_complete(kind, a, b, config, today, rounds, wait, transport, sleep)]
 
 
 class Month(InputPartition):
@@ -110,22 +127,36 @@ class FundReader(DataSourceReader):
         return [Month(a, b) for a, b in month_chunks(dt.date.fromisoformat(self.options["start"]), dt.date.fromisoformat(self.options["end"]))]
 
     def read(self, partition: Month):
-        config = FetchConfig(base_url=self.options.get("base_url", ""), fund_type=self.options.get("fund_type", "EMK"))
-        for row in fetch_period(self.options.get("kind", "general"), partition.start, partition.end, config, self.transport):
+        o = self.options
+        config = FetchConfig(base_url=o.get("base_url", ""), fund_type=o.get("fund_type", "EMK"), retries=int(o.get("retries", 5)), pause=float(o.get("pause", 1)), pause_after_error=float(o.get("pause_after_error", 15)))
+        kind = o.get("kind", "general")
+        if o.get("strict", "true") == "true":  # a month without an answer fails the job, it leaves no hole
+            rows = fetch_complete(kind, partition.start, partition.end, config, dt.date.fromisoformat(o.get("today", str(dt.date.today()))), int(o.get("rounds", 4)), float(o.get("wait", 60)), self.transport)
+        else:
+            rows = fetch_period(kind, partition.start, partition.end, config, self.transport)
+        for row in rows:
             yield (json.dumps(row, ensure_ascii=False),)
 
 
-def read_api(spark: SparkSession, start: str, end: str, base_url: str, fund_type: str = "EMK") -> tuple[DataFrame, DataFrame]:
-    """General and allocation over HTTP, repeated rows once."""
-    from terazi.sources.readers import canonical_allocation, canonical_general
+def read_api(spark: SparkSession, start: str, end: str, base_url: str, fund_type: str = "EMK", strict: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """General and allocation over HTTP, repeated rows once; with ``strict`` a month that never answers is an error.
+
+    Rows are parsed once, as maps; their fields are the columns of the general table, or the instrument codes.
+    """
+    from terazi.metadata import ROWS
+    from terazi.sources.readers import NAMES, canonical_allocation, canonical_general
 
     spark.dataSource.register(FundSource)
 
-    def rows(kind: str) -> DataFrame:
-        text = spark.read.format("fund_api").options(kind=kind, start=start, end=end, base_url=base_url, fund_type=fund_type).load().distinct()
-        return spark.read.json(text.rdd.map(lambda r: r[0]))
+    def rows(kind: str, fields: list[str]) -> DataFrame:
+        text = spark.read.format("fund_api").options(kind=kind, start=start, end=end, base_url=base_url, fund_type=fund_type, strict=str(strict).lower(), **{k: str(v) for k, v in options.items()}).load().distinct()
+        lower = F.transform_keys(F.from_json("payload", "map<string,string>"), lambda k, _: F.lower(k))
+        return text.select(lower.alias("m")).select(*(F.element_at("m", F.lit(f)).alias(f) for f in fields))
 
-    return canonical_general(rows("general")), canonical_allocation(rows("allocation"))
+    general = rows("general", list(NAMES))
+    codes = [r[0].lower() for r in ROWS]
+    allocation = rows("allocation", ["fonkodu", "tarih", *codes])
+    return canonical_general(general), canonical_allocation(allocation)
 
 
 def last_years(spark: SparkSession, years: int, end: dt.date, base_url: str, fund_type: str = "EMK") -> tuple[DataFrame, DataFrame]:

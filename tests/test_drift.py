@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 
-from terazi.operators.drift import Drift, assign, edit, tree, with_moves
+from terazi.operators.drift import Drift, agreement, assign, edit, tree, with_moves
 from terazi.operators.snapshots import merge, snapshot_changes
 
 RAW = "feed string, file_seq int, line_no int, delivered timestamp, payload string"
@@ -117,6 +117,37 @@ def test_two_pointers():
     assert list(merge([], [])) == []
 
 
+def test_many_ranges_and_columns(spark):
+    """Small ranges give the same rows; each compared column that differs has a row of its own."""
+    rows = [(dt.date(2025, 1, d), 1, f"F{k:03d}", f"T{k % (d + 2)}", k * d % 3) for d in (1, 5, 9) for k in range(60) if (k + d) % 7]
+    df = spark.createDataFrame(rows, SNAP)
+    key = lambda **x: sorted(map(str, snapshot_changes(df, ("fonunvan", "kisisayisi"), **x).collect()))
+    assert key() == key(range_rows=10) and len(key()) > 100
+    by = {(r[0], r[2]): r for r in rows}
+    for r in snapshot_changes(df, ("kisisayisi",)).collect():
+        if r.change == "changed":
+            day = dt.date.fromisoformat(r.tarih)
+            assert r.old_value != r.new_value == str(by[day, r.fonkodu][4])
+
+
+def test_pairs_without_doubt():
+    one = [{"field": "a", "new_field": "b", "agree": 1, "sources": 1}]
+    assert agreement(one) == {("a", "b"): 1.0}
+    assert agreement([*one, {"field": "a", "new_field": "c", "agree": 1, "sources": 1}]) == {("a", "b"): 0.0, ("a", "c"): 0.0}
+    assert agreement([{"field": "a", "new_field": "b", "agree": 1, "sources": 2}]) == {("a", "b"): 0.0}
+
+
+def test_moves_of_one_name():
+    script_ = [("removed", "p.x", ""), ("removed", "q.x", ""), ("added", "r.x", ""), ("added", "s.x", ""), ("added", "t.y", "")]
+    assert sorted(with_moves(script_)) == [("added", "t.y", ""), ("moved", "p.x", "r.x"), ("moved", "q.x", "s.x")]
+
+
+def test_two_at_once(spark):
+    """Records of two operators are read side by side: neither sees the other's."""
+    a, b = (Drift(spark.createDataFrame(file_of("A", 1, f) + file_of("A", 2, f), RAW), []) for f in ({"a": 1}, {"b": 2}))
+    assert {r.field for r in a.fields.collect()} == {"a"} and {r.field for r in b.fields.collect()} == {"b"}
+
+
 def test_numbers_in_texts(spark):
     from pyspark.sql import functions as F
 

@@ -126,9 +126,9 @@ def test_universe(spark):
 
 def test_formats_and_translations():
     assert percent(0.1234, "tr") == "%12,34" and percent(-0.05, "tr") == "-%5,00" and money(2.71e9, "tr") == "2,71 milyar TL" and number(1968, 0, "tr") == "1.968" and number(None) == "-"
-    assert translate("Negative Market / Positive Flow", "tr") == "Negatif Piyasa / Pozitif Akış"
-    assert translate("Multi-Asset (Fixed Income / Money Market / Collateral)", "tr") == "Çoklu Varlık (Sabit Getirili / Para Piyasası / Teminat)"
-    assert translate("Equity Weighted", "tr") == "Hisse Ağırlıklı" and translate("x", "en") == "x"
+    assert translate("Negative Market / Positive Flow", "tr") == "Piyasa Negatif, Akım Pozitif"
+    assert translate("Multi-Asset (Fixed Income / Money Market / Collateral)", "tr") == "Karma (Borçlanma / Para Piyasası / Teminat)"
+    assert translate("Equity Weighted", "tr") == "Hisse Çoğunlukta" and translate("x", "en") == "x"
 
 
 @pytest.mark.parametrize("bad", [{"feature_space": "x"}, {"transform": "x"}, {"risk_band_method": "x"}, {"k_range": (5, 4)}, {"k": 1}, {"sub_window_count": 0}, {"primary_threshold": 70.0}, {"risk_band_edges": (3.0, 2.0, 1.0)}])

@@ -12,7 +12,7 @@ from terazi.config import LensConfig
 from terazi.reports.markdown import fund_sentences, market_report, selected_report
 from terazi.reports.snapshot import dominance_comments, fund_snapshot, group_comments, snapshot_text
 from terazi.sources import readers, store
-from terazi.sources.fetch import FetchConfig, fetch_period, fetch_strict, month_chunks, payload
+from terazi.sources.fetch import FetchConfig, NoAnswer, fetch_complete, fetch_period, fetch_strict, month_chunks, payload
 from terazi.streaming.ingest import daily_totals, stream_general, upsert
 
 DAY = dt.date(2026, 1, 1)
@@ -147,6 +147,43 @@ def test_stream_upserts(spark, tmp_path):
     upsert(spark, general(spark, []), path)
 
 
+def test_a_store_that_cannot_be_opened_stays(spark, tmp_path):
+    """An error on opening isn't taken for the first batch: nothing is overwritten."""
+    path = tmp_path / "store"
+    (path / "month=2026-01").mkdir(parents=True)
+    (path / "month=2026-01" / "part-0.parquet").write_bytes(b"damaged")
+    with pytest.raises(Exception):  # noqa: B017
+        upsert(spark, general(spark, [row("A", dt.date(2026, 2, 5))]), str(path))
+    assert (path / "month=2026-01" / "part-0.parquet").read_bytes() == b"damaged" and not (path / "month=2026-02").exists()
+
+
+def test_upsert_follows_the_sequence(spark, tmp_path):
+    d = dt.date(2026, 1, 5)
+    batch = spark.createDataFrame([(*row("A", d, 5.0), 9), (*row("A", d, 1.0), 3), (*row("A", d, 2.0), 4)], readers.GENERAL_SCHEMA + ", arrived int").repartition(3)
+    for _ in range(2):
+        upsert(spark, batch, str(tmp_path / "s"), "arrived")
+    assert [(r.fund_code, r.price) for r in store.load_store(spark, str(tmp_path / "s")).collect()] == [("A", 5.0)]
+
+
+def test_a_month_that_never_answers(spark):
+    """It is asked for again in later rounds, then an error, in the reader as well; weekends may be empty."""
+    calls = []
+
+    def late(url, body, timeout):
+        calls.append(1)
+        return [] if len(calls) < 3 else [{"a": 1}]
+
+    quick = {"transport": late, "sleep": lambda _: None}
+    assert fetch_complete("general", DAY, DAY, FetchConfig(), dt.date(2026, 4, 1), **quick) == [{"a": 1}]
+    with pytest.raises(NoAnswer):
+        fetch_complete("general", DAY, DAY, FetchConfig(retries=1), dt.date(2026, 4, 1), transport=lambda *_: 1 / 0, sleep=lambda _: None)
+    saturday = dt.date(2026, 1, 3)
+    assert fetch_complete("general", saturday, saturday, FetchConfig(), dt.date(2026, 4, 1), transport=lambda *_: [], sleep=lambda _: None) == []
+    g, _ = readers.load(spark, "api", start="2026-01-01", end="2026-01-31", base_url="http://127.0.0.1:9", retries=1, rounds=2, wait=0, pause_after_error=0)
+    with pytest.raises(Exception, match="no answer for general"):
+        g.collect()
+
+
 def test_daily_totals(spark, tmp_path):
     rows = [(dt.datetime(2026, 1, 1, h), "a" if h % 2 else "b", 1.0) for h in range(6)] + [(dt.datetime(2026, 1, 5), "a", 1.0)]
     spark.createDataFrame(rows, "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "e"))
