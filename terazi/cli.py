@@ -22,9 +22,13 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--output")
         return c
 
-    add("report", "market report").add_argument("--lookback", default="1m")
+    report = add("report", "market report")
     compare = add("compare", "table of selected funds")
-    compare.add_argument("--lookback", default="1m")
+    for c in (report, compare):
+        c.add_argument("--lookback", default="1m")
+        c.add_argument("--from", dest="start", help="first day of a window, in place of a look-back")
+        c.add_argument("--to", dest="end", help="last day of the window")
+        c.add_argument("--include-unpublished", action="store_true")
     compare.add_argument("--funds", required=True, help="codes, separated by commas")
     classify = add("classify", "classification report")
     classify.add_argument("--lookback", default="3m")
@@ -40,6 +44,11 @@ def parser() -> argparse.ArgumentParser:
     fetch.add_argument("--end", default=str(dt.date.today()))
     fetch.add_argument("--type", default="EMK")
     fetch.add_argument("--store", required=True)
+    update = sub.add_parser("update", help="fetch what a store lacks, from two days before its last")
+    update.add_argument("--url", required=True)
+    update.add_argument("--end", default=str(dt.date.today()))
+    update.add_argument("--type", default="EMK")
+    update.add_argument("--store", required=True)
     return p
 
 
@@ -47,10 +56,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from terazi.config import ClassificationConfig, LensConfig, intervals
     from terazi.operators import lens as ln
     from terazi.operators.classifier import classify
+    from terazi.operators.combine import universe_window
     from terazi.operators.stress import stress_signals
     from terazi.reports import markdown as md
     from terazi.sources.readers import load, write_markdown
-    from terazi.sources.store import save_snapshot
+    from terazi.sources.store import save_snapshot, update_store
 
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("terazi").getOrCreate()
@@ -61,6 +71,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         save_snapshot(general, f"{a.store}/general")
         save_snapshot(allocation, f"{a.store}/allocation")
         return 0
+    if a.command == "update":
+        update_store(spark, a.store, dt.date.fromisoformat(a.end), a.url, a.type)
+        return 0
     general, allocation = load(spark, a.format, general=a.general, allocation=a.allocation)
     if a.command == "classify":
         model, out = classify(allocation, intervals(lookback), ClassificationConfig(k=a.k))
@@ -70,7 +83,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.command == "stress":
         text = md.stress_report(stress_signals(general, a.start, a.end, a.event), a.language)
     else:
-        universe = ln.universe(general, allocation, LensConfig(lookback=lookback))
+        config = LensConfig(lookback=lookback)
+        if a.start or a.end:
+            universe = universe_window(general, allocation, a.start, a.end, config, a.include_unpublished)
+        else:
+            universe = ln.universe(general, allocation, config, a.include_unpublished)
         text = md.market_report(universe, a.language) if a.command == "report" else md.selected_report(universe, a.funds.split(","), a.language)
     if a.output:
         write_markdown(text, a.output)

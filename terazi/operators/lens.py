@@ -11,9 +11,9 @@ from terazi.operators.dna import archetypes, latest_allocation
 from terazi.operators.panel import flow_features, published, window_totals
 
 
-def universe(panel: DataFrame, allocation: DataFrame, config: LensConfig = LensConfig()) -> DataFrame:
+def universe(panel: DataFrame, allocation: DataFrame, config: LensConfig = LensConfig(), include_unpublished: bool = False) -> DataFrame:
     """One row per fund that has enough days and an allocation: window totals, archetype, segments, quadrant, regime."""
-    totals = window_totals(flow_features(published(panel)), intervals(config.lookback))
+    totals = window_totals(flow_features(panel if include_unpublished else published(panel)), intervals(config.lookback))
     rows = totals.join(archetypes(latest_allocation(allocation)), "fund_code")
     return with_segments(rows, config)
 
@@ -81,8 +81,8 @@ def top_outflows(lens: DataFrame, n: int = 20) -> DataFrame:
     return top(lens, "flow_pct", n, ascending=True)
 
 
-def pure_performance(lens: DataFrame, n: int = 20) -> DataFrame:
-    return top(lens, "market_effect_pct", n, where=(F.col("market_effect_pct") > 0.01) & (F.abs("flow_pct") < 0.0005))
+def pure_performance(lens: DataFrame, n: int = 20, neutral: float = 0.0005) -> DataFrame:
+    return top(lens, "market_effect_pct", n, where=(F.col("market_effect_pct") > 0.01) & (F.abs("flow_pct") < neutral))
 
 
 def performance_led(lens: DataFrame, n: int = 20) -> DataFrame:

@@ -134,10 +134,10 @@ def period_replacement(spark: SparkSession, d: str) -> DataFrame:
     return replaced(p.filter("date < date'1996-06-01'"), p.filter("date >= date'1996-03-01'").withColumn("aum", F.col("aum") + 1), "1996-03-01").select("fund_code", "date", *r("aum", digits=2))
 
 
-@query("""WITH d AS (SELECT DISTINCT CAST(tarih AS DATE) AS date FROM general WHERE tarih IS NOT NULL), g AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d)
+@query("""WITH d AS (SELECT DISTINCT CAST(tarih AS DATE) AS date FROM fund_snapshots WHERE tarih IS NOT NULL), g AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM d)
 SELECT date FROM g WHERE isodow(date) <= 5 AND date NOT IN (SELECT tatil FROM holidays WHERE tatil IS NOT NULL) AND date NOT IN (SELECT date FROM d)""")
 def calendar_gaps_universe(spark: SparkSession, d: str) -> DataFrame:
-    return calendar_gaps(general_panel(spark, d), table(spark, d, "holidays").select(F.col("tatil").alias("date")))
+    return calendar_gaps(table(spark, d, "fund_snapshots").select(F.col("tarih").cast("date").alias("date")), table(spark, d, "holidays").select(F.col("tatil").alias("date")))
 
 
 # --- portfolio DNA -------------------------------------------------------------------------------
@@ -329,7 +329,7 @@ def _screen(name: str, f, by: str, sql: str) -> None:
 
 _screen("top_inflows", lens.top_inflows, "flow_pct", _top_sql("flow_pct", 20))
 _screen("top_outflows", lens.top_outflows, "flow_pct", _top_sql("flow_pct", 20, order="ASC"))
-_screen("pure_performance", lens.pure_performance, "market_effect_pct", _top_sql("market_effect_pct", 20, "market_effect_pct > 0.01 AND abs(flow_pct) < 0.0005"))
+_screen("pure_performance", lambda x: lens.pure_performance(x, neutral=0.25), "market_effect_pct", _top_sql("market_effect_pct", 20, "market_effect_pct > 0.01 AND abs(flow_pct) < 0.25"))
 _screen("performance_led", lens.performance_led, "market_effect_pct", _top_sql("market_effect_pct", 20, "market_effect_pct > 0.01 AND abs(market_effect_pct) > abs(flow_pct)"))
 _screen("holder_growth_neutral", lambda x: lens.holder_growth_neutral(x, neutral=0.5), "participant_change_pct", _top_sql("participant_change_pct", 20, "participant_change_pct > 0.005 AND abs(flow_pct) < 0.5"))
 _screen("high_lookthrough", lens.high_lookthrough, "lookthrough_weight", _top_sql("lookthrough_weight", 20))
@@ -587,9 +587,15 @@ def founder_summary(spark: SparkSession, d: str) -> DataFrame:
 # --- scalar functions ----------------------------------------------------------------------------
 
 
-@query("SELECT name, CASE WHEN name LIKE '%PORTFÖY%' THEN regexp_extract(name, '^(.*?PORTFÖY)', 1) WHEN name LIKE '%PYŞ%' THEN regexp_extract(name, '^(.*?PYŞ)', 1) ELSE split_part(trim(name), ' ', 1) END AS founder FROM eylul_2026_fon_krizi")
+FOUNDER_SQL = r"""WITH t AS (SELECT DISTINCT fonunvan AS name, trim(fonunvan) AS t FROM general),
+x AS (SELECT *, regexp_extract(t, '^(.*?(?:^|[^\p{L}\p{N}_])PORTFÖY)(?:$|[^\p{L}\p{N}_])', 1) AS a, regexp_extract(t, '^(.*?(?:^|[^\p{L}\p{N}_])PYŞ)(?:$|[^\p{L}\p{N}_])', 1) AS b, regexp_extract(t, '^(.*?)[\s\p{Z}]+A\.Ş\.', 0) AS c0, regexp_extract(t, '^(.*?)[\s\p{Z}]+A\.Ş\.', 1) AS c FROM t),
+y AS (SELECT *, coalesce(nullif(length(a), 0), 1000000) AS la, coalesce(nullif(length(b), 0), 1000000) AS lb, coalesce(nullif(length(c0), 0), 1000000) AS lc FROM x)
+SELECT name, CASE WHEN name IS NULL THEN NULL WHEN la < 1000000 AND la <= lb AND la <= lc THEN a WHEN lb < 1000000 AND lb <= lc THEN b WHEN lc < 1000000 THEN c ELSE split_part(t, ' ', 1) END AS founder FROM y"""
+
+
+@query(FOUNDER_SQL)
 def founder_extract(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "eylul_2026_fon_krizi").select("name", labels.founder(F.col("name")).alias("founder"))
+    return table(spark, d, "general").select(F.col("fonunvan").alias("name")).distinct().select("name", labels.founder(F.col("name")).alias("founder"))
 
 
 @query("SELECT name, slug FROM eylul_2026_fon_krizi")
@@ -603,8 +609,20 @@ def label_lookup(spark: SparkSession, d: str) -> DataFrame:
     return supplier_weights(spark, d).join(dim, "code").groupBy("code", "name_en", "broad_group").agg(F.count("*").alias("n"))
 
 
-@query("SELECT fonkodu, try_cast(replace(replace(trim(kks), '%', ''), ',', '.') AS DOUBLE) AS kks FROM allocation_h1")
+BARE = "translate(t, ' ' || chr(9) || chr(13) || chr(10) || chr(160) || '%', '')"
+BARE_NUMBER = f"try_cast(CASE WHEN contains({BARE}, ',') AND contains({BARE}, '.') THEN CASE WHEN strpos(reverse({BARE}), ',') < strpos(reverse({BARE}), '.') THEN replace(replace({BARE}, '.', ''), ',', '.') ELSE replace({BARE}, ',', '') END ELSE replace({BARE}, ',', '.') END AS DOUBLE)"
+
+
+@query(" UNION ALL ".join(f"SELECT {k} AS file, fonkodu, code, {BARE_NUMBER} AS weight FROM (SELECT fonkodu, COLUMNS(* EXCLUDE (fonkodu, fonunvan, tarih))::VARCHAR FROM allocation_h{k}) UNPIVOT INCLUDE NULLS (t FOR code IN (COLUMNS(* EXCLUDE (fonkodu))))" for k in (1, 2, 3, 4)))
 def weight_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every weight of the four tables, written as a number or as text."""
+    from functools import reduce
+
     from terazi.operators.drift import number_of
 
-    return table(spark, d, "allocation_h1").select("fonkodu", number_of(F.col("kks").cast("string")).alias("kks"))
+    def cells(k: int) -> DataFrame:
+        t = table(spark, d, f"allocation_h{k}")
+        codes = [c for c in t.columns if c.lower() not in ("fonkodu", "fonunvan", "tarih")]
+        return t.select(F.lit(k).alias("file"), "fonkodu", F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.col(f"`{c}`").cast("string").alias("t")) for c in codes))).alias("x")).select("file", "fonkodu", "x.code", number_of(F.col("x.t")).alias("weight"))
+
+    return reduce(DataFrame.unionByName, (cells(k) for k in (1, 2, 3, 4)))

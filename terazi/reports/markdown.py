@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terazi.config import ClassificationConfig
 from terazi.operators import lens as ln
 from terazi.operators.classifier import Model, class_summary, describe
+from terazi.operators.combine import low_confidence, most_frequent
 from terazi.operators.stress import Stress
 from terazi.reports.text import markdown_table, money, number, percent, translate
 
@@ -32,8 +34,9 @@ def _t(language: str) -> dict[str, str]:
 
 
 def _summary(lens: DataFrame, column: str, language: str) -> str:
+    """A row per label of the column; labels come from fixed lists, so there are a few dozen at most."""
     t = _t(language)
-    rows = [[translate(r[column], language), number(r["fund_count"], 0, language), money(r["total_start_aum"], language), percent(r["start_aum_share"], language), percent(r["weighted_flow_pct"], language), percent(r["weighted_market_effect_pct"], language)] for r in ln.summary_by(lens, column).limit(50).collect()]
+    rows = [[translate(r[column], language), number(r["fund_count"], 0, language), money(r["total_start_aum"], language), percent(r["start_aum_share"], language), percent(r["weighted_flow_pct"], language), percent(r["weighted_market_effect_pct"], language)] for r in ln.summary_by(lens, column).collect()]
     return markdown_table([t["type"], t["funds"], t["start"], t["share"], t["flow"], t["effect"]], rows)
 
 
@@ -56,7 +59,7 @@ def market_report(lens: DataFrame, language: str = "en", n: int = 20) -> str:
         for c, k in (("archetype", "archetype"), ("market_flow_quadrant", "quadrant"), ("aum_segment", "segment")):
             parts += [f"## {t['by']} {t[k]}", _summary(lens, c, language)]
         parts += [f"## {t['inflows']}", _funds(ln.top_inflows(lens, n), language), f"## {t['outflows']}", _funds(ln.top_outflows(lens, n), language)]
-        d = [[translate(r[0], language), translate(r[1], language), percent(r[2], language), translate(r[3], language)] for r in ln.dominant(lens).limit(50).collect()]
+        d = [[translate(r[0], language), translate(r[1], language), percent(r[2], language), translate(r[3], language)] for r in ln.dominant(lens).collect()]
         parts += [f"## {t['dominant']}", markdown_table([t["type"], t["regime"], t["share"], t["strength"]], d)]
         return "\n\n".join(parts) + "\n"
     finally:
@@ -67,17 +70,22 @@ def selected_report(lens: DataFrame, codes: list[str], language: str = "en") ->
     return f"# {_t(language)['selected']}\n\n{_funds(ln.selected(lens, codes), language)}\n"
 
 
-def classification_report(model: Model, classified: DataFrame, language: str = "en", low: float = 0.25, n: int = 10) -> str:
-    """Classes with their composition, axes, model quality and the largest drifts."""
+def classification_report(model: Model, classified: DataFrame, language: str = "en", config: ClassificationConfig = ClassificationConfig(), n: int = 10) -> str:
+    """Classes with their family and composition, axes, model quality, funds of low confidence and the largest drifts."""
     t = _t(language)
     content = dict(zip(model.names, (describe(c, model.features) for c in model.centroids), strict=True))
-    rows = [[translate(r["class_name"], language), number(r["funds"], 0, language), percent(r["fund_share"], language), number(r["avg_confidence"], 2, language), number(r["avg_stability"], 2, language), content.get(r["class_name"], "-")] for r in class_summary(classified).collect()]
-    parts = [f"# {t['classes']}", markdown_table([t["class"], t["funds"], t["share"], t["confidence"], t["stability"], t["content"]], rows), f"## {t['axes']}"]
+    kin = {r[0]: r[1] for r in most_frequent(classified, "class_name", "family").collect()}
+    rows = [[translate(r["class_name"], language), translate(kin.get(r["class_name"]), language), number(r["funds"], 0, language), percent(r["fund_share"], language), number(r["avg_confidence"], 2, language), number(r["avg_stability"], 2, language), content.get(r["class_name"], "-")] for r in class_summary(classified).collect()]
+    parts = [f"# {t['classes']}", markdown_table([t["class"], t["type"], t["funds"], t["share"], t["confidence"], t["stability"], t["content"]], rows), f"## {t['axes']}"]
     for axis in ("participation_class", "risk_band", "currency_band", "lookthrough_band"):
         counts = classified.groupBy(axis).count().orderBy(F.desc("count"), axis).collect()
         parts.append(", ".join(f"{translate(r[0], language)}: {r[1]}" for r in counts))
-    unsure = classified.filter(F.col("confidence") < low).count()
-    parts += [f"## {t['quality']}", f"{model.method}, k = {len(model.names)}" + (f", silhouette {number(model.silhouette, 3, language)}" if model.silhouette is not None else "") + f". {t['low']}: {unsure}."]
+    unsure = low_confidence(classified, config).collect()  # a row per class
+    parts += [f"## {t['quality']}", f"{model.method}, k = {len(model.names)}" + (f", silhouette {number(model.silhouette, 3, language)}" if model.silhouette is not None else "") + f". {t['low']} (< {number(config.low_confidence_threshold, 2, language)}): {sum(r['low'] for r in unsure)}."]
+    parts += ["; ".join(f"{translate(r['class_name'], language)}: {r['low']} / {r['funds']}" for r in sorted(unsure, key=lambda r: r["class_name"]))]
+    faint = classified.filter(F.col("confidence") < config.low_confidence_threshold).orderBy("confidence", "fund_code").limit(n).collect()
+    if faint:
+        parts += [f"## {t['low']}", markdown_table([t["fund"], t["class"], t["confidence"]], [[r["fund_code"], translate(r["class_name"], language), number(r["confidence"], 2, language)] for r in faint])]
     top = classified.filter("style_drift is not null").orderBy(F.desc("style_drift"), "fund_code").limit(n).collect()
     parts += [f"## {t['drift']}", markdown_table([t["fund"], t["class"], "L1"], [[r["fund_code"], translate(r["class_name"], language), number(r["style_drift"], 1, language)] for r in top])]
     return "\n\n".join(parts) + "\n"

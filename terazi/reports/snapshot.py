@@ -47,17 +47,19 @@ def snapshot_text(s: dict, language: str = "en") -> str:
 
 def group_comments(lens: DataFrame, column: str, language: str = "en", n: int = 3) -> list[str]:
     """Sentences on the groups with the largest inflow and outflow for their size, and on the largest group."""
-    rows = ln.summary_by(lens, column).limit(200).collect()
+    groups = ln.summary_by(lens, column)
+    rows = groups.limit(1).collect()  # the largest comes first
     if not rows:
         return []
     tr = language == "tr"
-    flows = sorted((r for r in rows if r["weighted_flow_pct"] is not None), key=lambda r: -r["weighted_flow_pct"])
+    ends = lambda key: groups.filter("weighted_flow_pct is not null").orderBy(key, column).limit(n).collect()
+    flows, back = ends(F.desc("weighted_flow_pct")), ends(F.asc("weighted_flow_pct"))
     out = [(f"En büyük grup {translate(rows[0][column], 'tr')}: toplamın {percent(rows[0]['start_aum_share'], 'tr')} kadarı." if tr else f"The largest group is {rows[0][column]} with {percent(rows[0]['start_aum_share'])} of the total.")]
-    out += [f"{translate(r[column], language)}: " + (f"ağırlıklı akış {percent(r['weighted_flow_pct'], 'tr')}." if tr else f"weighted flow {percent(r['weighted_flow_pct'])}.") for r in flows[:n] if r["weighted_flow_pct"] > 0]
-    out += [f"{translate(r[column], language)}: " + (f"ağırlıklı akış {percent(r['weighted_flow_pct'], 'tr')}." if tr else f"weighted flow {percent(r['weighted_flow_pct'])}.") for r in flows[::-1][:n] if r["weighted_flow_pct"] < 0]
+    out += [f"{translate(r[column], language)}: " + (f"ağırlıklı akış {percent(r['weighted_flow_pct'], 'tr')}." if tr else f"weighted flow {percent(r['weighted_flow_pct'])}.") for r in flows if r["weighted_flow_pct"] > 0]
+    out += [f"{translate(r[column], language)}: " + (f"ağırlıklı akış {percent(r['weighted_flow_pct'], 'tr')}." if tr else f"weighted flow {percent(r['weighted_flow_pct'])}.") for r in back if r["weighted_flow_pct"] < 0]
     return out
 
 
 def dominance_comments(lens: DataFrame, language: str = "en") -> list[str]:
     """A sentence per fund type on its dominant regime."""
-    return [f"{translate(r['archetype'], language)}: {translate(r['dominant_quadrant'], language)}, {percent(r['dominant_quadrant_share'], language)} ({translate(r['dominance_strength'], language)})." for r in ln.dominant(lens).limit(200).collect()]
+    return [f"{translate(r['archetype'], language)}: {translate(r['dominant_quadrant'], language)}, {percent(r['dominant_quadrant_share'], language)} ({translate(r['dominance_strength'], language)})." for r in ln.dominant(lens).collect()]

@@ -74,6 +74,26 @@ def update_start(latest: dt.date | None, end: dt.date, overlap_days: int = 2, ye
         return end.replace(year=end.year - years, day=28)
 
 
+def update_store(spark: SparkSession, path: str, end: dt.date, base_url: str, fund_type: str = "EMK", **options) -> bool:
+    """Fetch from a little before the store's last day (years back for an empty one) to ``end`` and replace that period in both tables.
+
+    A month that doesn't answer is an error before anything is replaced; False if there was nothing to fetch.
+    """
+    from terazi.session import cut
+    from terazi.sources.fetch import read_api
+
+    start = update_start(latest_date(spark, f"{path}/general"), end)
+    if start > end:
+        return False
+    general, allocation = (cut(x) for x in read_api(spark, str(start), str(end), base_url, fund_type, **options))  # complete, or an error here
+    for name, new in (("general", general), ("allocation", allocation)):
+        if latest_date(spark, f"{path}/{name}") is None:
+            save_snapshot(new, f"{path}/{name}")
+        else:
+            replace_period(spark, f"{path}/{name}", new, start)
+    return True
+
+
 def calendar_gaps(panel: DataFrame, holidays: DataFrame) -> DataFrame:
     """Business days between the first and last day of a panel on which no fund has a row. holidays: a column date."""
     bounds = panel.agg(F.min("date").alias("a"), F.max("date").alias("b")).filter("a is not null")
