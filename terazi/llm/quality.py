@@ -19,6 +19,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,8 @@ CELL_VALUE = re.compile(r"^[-+]?[\d.,%/:-]*\d[\d.,%/:-]*$|^-$|^n/a$|^$", re.I)
 CODE = re.compile(r"^(?=.*\d)(?=.*[A-Za-z])[0-9A-Za-z_\-=+/:.]{6,}$|^0x[0-9a-fA-F]+$|^[0-9A-Fa-f]{12,}$|^\d{8,}$")
 PAIR = re.compile(r"^[^\W\d]\w*[=:]\S*$")
 TAG = re.compile(r"</?t[rdh][^>]*>")
+NUMERALS = re.compile(r"\d+")
+READ = re.compile(r"[\w\s]")
 GAPS = re.compile(r" {2,}")
 GAP = re.compile(r" {2,}|\t")
 
@@ -86,30 +89,30 @@ def classes(text: str) -> np.ndarray:
 def is_value(field: str) -> bool:
     """A number, date, code with digits, dash or nothing, as cells hold."""
     x = field.strip()
-    return not x or CELL_VALUE.match(x) is not None or (any(c.isdigit() for c in x) and len(x.split()) <= 2 and sum(c.isalnum() for c in x) >= 0.6 * len(x))
+    return not x or CELL_VALUE.match(x) is not None or (NUMERALS.search(x) is not None and len(x.split()) <= 2 and sum(c.isalnum() for c in x) >= 0.6 * len(x))
 
 
 def cells_of(line: str, words: list[str]) -> int:
     """Fields of a row of cells, 1 if the line is none: parted by signs or gaps, and values for two fifths or more."""
+    most = len(NUMERALS.findall(line)) + line.count("-") + line.count("/")  # no more fields than this are values, but for empty ones
     for sign in ("</td>", "</th>", "|", "│", "\t", ";"):
         if line.count(sign) >= 2:
             fields = [TAG.sub("", f).strip() for f in line.strip(" |│").split(sign)]
             filled = [f for f in fields if f]
             size = sum(map(len, filled))
-            read = sum(c.isalnum() or c.isspace() for f in filled for c in f) >= 0.65 * size
-            if read and 0 < size <= 24 * len(fields) and sum(map(is_value, fields)) >= 0.4 * len(fields):
+            if 0 < size <= 24 * len(fields) and sum(map(is_value, fields)) >= 0.4 * len(fields) and len(READ.findall("".join(filled))) >= 0.65 * size:
                 return len(fields)
     if "  " in line.strip():
         fields = GAP.split(line.strip())
-        if len(fields) >= 3 and sum(map(is_value, fields)) >= (0.4 if max(map(len, GAPS.findall(line))) > 2 else 0.6) * len(fields):
+        if len(fields) >= 3 and most + fields.count("") >= 0.4 * len(fields) and sum(map(is_value, fields)) >= (0.4 if max(map(len, GAPS.findall(line))) > 2 else 0.6) * len(fields):
             return len(fields)
     if len(words) >= 2 and "=" in line and sum(PAIR.match(w) is not None for w in words) >= max(2, 0.6 * len(words)):
         return max(3, len(words))
     if line.count(",") >= 2:
         fields = line.strip().split(",")
-        if sum(map(is_value, fields)) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
+        if most + sum(map(str.isspace, fields)) + fields.count("") >= 0.5 * len(fields) and sum(map(is_value, fields)) >= max(2, 0.5 * len(fields)) and max(len(f.split()) for f in fields) <= 4:
             return len(fields)
-    if len(words) >= 3 and sum(CELL_VALUE.match(w) is not None for w in words) > 0.6 * len(words):
+    if len(words) >= 3 and most > 0.6 * len(words) and sum(CELL_VALUE.match(w) is not None for w in words) > 0.6 * len(words):
         return len(words)
     return 1
 
@@ -124,6 +127,11 @@ def is_head(line: str) -> bool:
     return len(GAP.split(line.strip())) >= 3
 
 
+@lru_cache(maxsize=200_000)
+def voiceless(word: str) -> bool:
+    return VOWEL.search(word) is None
+
+
 def is_code(token: str) -> bool:
     return len(token) >= 6 and not token.isalpha() and CODE.match(token.strip(".,;:()[]\"'")) is not None
 
@@ -202,9 +210,9 @@ def statistics(text: str | None, lang: str | None) -> tuple:
         cells,
         len({t.lower() for t in tokens}) / len(tokens),
         len(zlib.compress(raw, 1)) / len(raw),
-        sum(map(is_code, tokens)) / len(tokens),
+        sum(is_code(t) for t in tokens if len(t) > 5 and not t.isalpha()) / len(tokens),
         np.log1p(max(map(len, tokens))),
-        sum(VOWEL.search(w) is None for w in mute) / max(1, len(mute)),
+        sum(map(voiceless, mute)) / max(1, len(mute)),
     )
     return (language, len(words), len(tokens), *map(float, values))
 

@@ -176,6 +176,11 @@ def test_search_finds_all_leaks(spark):
 
 def test_paraphrases(spark):
     """A text that retells an item, with its facts and its order but no piece of 12 words, is reported beside the leaks."""
+    rng = random.Random(5)
+
+    def passage(n, words=VOCABULARY):
+        return [rng.choice(words) for _ in range(n)]
+
     own = [f"t{chr(97 + i % 26)}{i}q" for i in range(300)]
     items = [(i, passage(60, own) + [str(1000 + i)]) for i in range(5)]
     told = [w if i % 8 < 6 or i == 60 else f"z{chr(97 + i % 26)}q" for i, w in enumerate(items[2][1])]
