@@ -51,7 +51,7 @@ WANTED = 1 << 22
 #: Latent dimensions of the first look at a passage.
 FIRST = 32
 #: A paraphrase: least cosine, share of the item in the longest common subsequence, share of its facts.
-RETOLD = (0.3, 0.5, 0.6)
+RETOLD = (0.3, 0.5, 0.4)
 #: Least share of an item's words, and words of a piece.
 SHARE, PIECE = 0.4, 12
 BLOCK_WORDS = 600_000
