@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import hashlib
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -248,14 +249,14 @@ def encode_column(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: st
 
 
 def round_trip(documents: DataFrame, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """doc_id, tokens (number of ids) and same: whether decoding gives the text back (null and empty texts: the empty text)."""
+    """doc_id, same (whether decoding the ids gives the text back; null and empty texts: the empty text) and digest (MD5 of the decoded text)."""
     ranks = _broadcast(documents, folder, vocabulary)
 
-    @F.pandas_udf("tokens int, same boolean")
+    @F.pandas_udf("same boolean, digest string")
     def check(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         t = _transducer(ranks)
         for s in texts:
-            rows = [(len(ids), "".join(t.decode(ids)) == (x or "")) for x, ids in ((x, t.encode(x)) for x in s)]
-            yield pd.DataFrame(rows, columns=["tokens", "same"])
+            back = ["".join(t.decode(t.encode(x))) for x in s]
+            yield pd.DataFrame({"same": [a == (x or "") for a, x in zip(back, s, strict=True)], "digest": [hashlib.md5(a.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest() for a in back]})
 
-    return documents.select("doc_id", check("text").alias("r")).select("doc_id", "r.tokens", "r.same")
+    return spread(documents.select("doc_id", "text"), "doc_id").select("doc_id", check("text").alias("r")).select("doc_id", "r.same", "r.digest")

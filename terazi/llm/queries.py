@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terazi.llm.bpe import encode_column, round_trip
 from terazi.llm.canonical import map_founders
@@ -47,12 +48,17 @@ def p10_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_quality(table(spark, sf_dir, "documents"))
 
 
+def p10_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can count: words, their mean length, share of lines that end in punctuation."""
+    return p10_stats(spark, sf_dir).select("doc_id", "words", *(F.round(c, 6).alias(c) for c in ("word_length", "end_punctuation")))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_stats(spark, sf_dir).filter(CASES).select("doc_id", "kind")
 
 
 def llm_queries() -> dict:
-    return {f.__name__: f for f in (p2_percentiles, p2_partials, p6_found, p8_ids, p8_round_trip, p9_leaks, p9_found, p10_stats, p10_found)}
+    return {f.__name__: f for f in (p2_percentiles, p2_partials, p6_found, p8_ids, p8_round_trip, p9_leaks, p9_found, p10_stats, p10_counts, p10_found)}
 
 
 COUNTS = """WITH u AS (SELECT DISTINCT fonkodu, start_date, end_date, archetype, start_aum, end_aum, end_participants, flow_pct, market_effect_pct FROM universe),
@@ -65,8 +71,18 @@ t AS (SELECT unnest([{', '.join(map(str, TARGETS))}]) AS permille)
 SELECT archetype, field, permille, step / 1000000 AS value, i AS rank, n FROM s, t WHERE i = greatest(1, (permille * n + 999) // 1000)"""
 
 
+LETTERS = r"[\p{L}\p{No}\p{Nl}]+"
+SPACE = r"[\s\p{Z}\x{85}\x1c-\x1f]"
+P10_COUNTS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, regexp_extract_all(t, '{LETTERS}(?:[''’]{LETTERS})?') AS w, list_filter(regexp_extract_all(t, '[^\n\r\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]+'), lambda y: NOT regexp_full_match(y, '{SPACE}*')) AS lines FROM d)
+SELECT doc_id, CAST(len(w) AS INTEGER) AS words, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda y: length(y))) / len(w) END, 6) AS word_length,
+  round(CASE WHEN len(lines) = 0 THEN 0 ELSE len(list_filter(lines, lambda y: regexp_matches(y, '[.!?…:;]["''”’»)\]]*{SPACE}*$'))) / len(lines) END, 6) AS end_punctuation FROM x"""
+
+
 def llm_sql() -> dict:
     return {
         "p2_percentiles": PERCENTILES,
+        "p8_round_trip": "SELECT doc_id, true AS same, md5(coalesce(text, '')) AS digest FROM documents",
+        "p10_counts": P10_COUNTS,
         "p2_partials": f"{COUNTS} SELECT archetype, end_date, field, step, count(*) AS n FROM c GROUP BY ALL",
     }
