@@ -509,9 +509,11 @@ def kmeans_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def silhouette_by_k(spark: SparkSession, d: str) -> DataFrame:
-    v = cl.wide(al.mean_vectors(_rows(spark, d), ["fund_code"], CLASSES), FEATURE_LIST, ["fund_code"]).cache()
-    kept = cl.classifiable(v)
-    return spark.createDataFrame([(k, score) for k, score, _ in cl.candidates(kept, kept.count(), ClassificationConfig())], "k int, silhouette double")
+    kept = cl.classifiable(cl.wide(al.mean_vectors(_rows(spark, d), ["fund_code"], CLASSES), FEATURE_LIST, ["fund_code"])).cache()
+    try:
+        return spark.createDataFrame([(k, score) for k, score, _ in cl.candidates(kept, kept.count(), ClassificationConfig())], "k int, silhouette double")
+    finally:
+        kept.unpersist()
 
 
 # --- stress --------------------------------------------------------------------------------------
