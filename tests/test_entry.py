@@ -15,7 +15,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["flow_decomposition", "lens_universe", "dna_top_exposures", "stress_index", "p1_found", "p3_trailing", "p5_found"])
+@pytest.mark.parametrize("name", ["flow_decomposition", "lens_universe", "dna_top_exposures", "stress_index", "p1_found", "p1_days", "p3_trailing", "p4_found", "p4_table", "p5_found", "p5_changes", "p7_fixed", "universe_window", "universe_with_classes", "founder_extract", "weight_text", "style_drift", "class_stability", "founder_flows"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()

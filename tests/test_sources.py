@@ -214,7 +214,7 @@ def test_reports_and_command_line(spark, tmp_path):
         assert fund_sentences(u.orderBy("fund_code").first(), language).startswith("AAA")
     snap = fund_snapshot(general_, allocation, " aaa ", LensConfig(lookback=5))
     assert snap["tables"]["broad"][0] == ("Fixed Income", 80.0) and fund_snapshot(general_, allocation, "ZZZ") is None
-    assert "Fixed Income" in snapshot_text(snap) and "Sabit Getirili" in snapshot_text(snap, "tr")
+    assert "Fixed Income" in snapshot_text(snap) and "Borçlanma" in snapshot_text(snap, "tr")
     assert group_comments(u, "archetype") and dominance_comments(u, "tr") and group_comments(u.limit(0), "archetype") == []
     assert lens.validation(u).first().repeated_codes == 0
     assert [(r.founder, r.funds) for r in lens.founder_totals([u, u]).collect()] == [("İŞ PORTFÖY", 4)]
